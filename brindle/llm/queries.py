@@ -6,21 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import neardup
+from brindle.llm import classifier, neardup, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the documents that the classifier keeps; fitted on labelled documents, applied to all."""
+    docs = _table(spark, sf_dir, "documents")
+    scores = classifier.score(docs, classifier.fit(docs, _table(spark, sf_dir, "labels")))
+    return scores.where("keep").drop("keep")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that duplicates a kept one, and the one that is kept."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the rules keep, with their posterior probability of good quality."""
+    return rules.kept(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_quality_classifier, op5_minhash_near_dedup, op7_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": rules.sql()}
