@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import classifier, neardup, rules
+from brindle.llm import classifier, decontam, neardup, packing, rules, sharding, tokenfile, tokens
+from brindle.plans.scratch import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,19 +21,47 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.where("keep").drop("keep")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bins of all documents."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token table of all documents, written and read again with its metadata."""
+    path = new_path(spark, "tokens")
+    tokenfile.write_tokens(_table(spark, sf_dir, "documents"), path, metadata=("lang", "source"), encoding="delta")
+    return spark.read.parquet(path)
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold which items of the benchmark."""
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that duplicates a kept one, and the one that is kept."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return sharding.assign(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, with their posterior probability of good quality."""
     return rules.kept(_table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens of every document."""
+    return tokens.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op5_minhash_near_dedup, op7_quality_rules)}
+    own = (op1_quality_classifier, op2_best_fit_packing, op3_token_id_output, op4_benchmark_decontamination, op5_minhash_near_dedup, op6_sharding, op7_quality_rules, op8_token_counts)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": rules.sql()}
+    return {"op6_sharding": sharding.sql(), "op7_quality_rules": rules.sql()}
