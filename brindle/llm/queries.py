@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import classifier, decontam, neardup, packing, rules, sharding, tokenfile, tokens
+from brindle.llm import archive, classifier, decontam, extraction, neardup, packing, rules, sharding, tokenfile, tokens
 from brindle.plans.scratch import new_path
 
 
@@ -58,10 +58,21 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op9_archive_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written as packages and read back by byte ranges."""
+    made = archive.write_packages(_table(spark, sf_dir, "pages"), new_path(spark, "archives"))
+    return archive.pages(archive.read_packages(made))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages, by their hosts' winning paths."""
+    return extraction.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_classifier, op2_best_fit_packing, op3_token_id_output, op4_benchmark_decontamination, op5_minhash_near_dedup, op6_sharding, op7_quality_rules, op8_token_counts)
+    own = (op1_quality_classifier, op2_best_fit_packing, op3_token_id_output, op4_benchmark_decontamination, op5_minhash_near_dedup, op6_sharding, op7_quality_rules, op8_token_counts, op9_archive_reader, op10_html_extraction)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": sharding.sql(), "op7_quality_rules": rules.sql()}
+    return {"op6_sharding": sharding.sql(), "op7_quality_rules": rules.sql(), "op9_archive_reader": "SELECT page_id, url, html FROM pages"}
