@@ -54,6 +54,22 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, label: str, key: str, only: DataFrame) -> DataFrame:
+    """As ``materialize``, of the rows whose key is in ``only``, in buckets of ``key``: joins on it shuffle the other side alone.
+
+    There are ``spark.sql.shuffle.partitions`` buckets, each written by one task. ``df`` is shuffled once, before the
+    semi-join with ``only``, which then takes place within the buckets.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{label}_{uuid.uuid4().hex}"
+    laid = df.repartition(n, key).join(only.select(key).distinct(), key, "left_semi")
+    laid.write.bucketBy(n, key).option("compression", "zstd").option("path", new_path(spark, label)).format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry only: the analysed table keeps its files and buckets
+    return table
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that no plan reads any more."""
     p, fs = _java_path(spark, path)
