@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import bytewords as bw
 from brindle.plans.components import components
-from brindle.plans.scratch import materialize
+from brindle.plans.scratch import materialize, materialize_by
 
 SHINGLE, COORDINATES, ROWS, THRESHOLD = 3, 160, 4, 0.5
 #: A pair is verified unless its estimate lies this many standard deviations below the threshold.
@@ -170,13 +170,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = made.withColumn("rep", F.min("node").over(same)).withColumn("first", F.row_number().over(same.orderBy("node")) == 1)
     made = materialize(made.select("node", "rep", *(F.when(F.col("first"), F.col(c)).alias(c) for c in ("bands", "low"))), "sketch")
     reps = made.where("bands IS NOT NULL").select("node", "bands", "low")
-    texts = source.dropDuplicates(["node"]) if _repeats(made) else source
-
     bucket = Window.partitionBy("key")
     members = reps.select("node", F.explode("bands").alias("key")).distinct()
     met = members.withColumn("hub", F.min("node").over(bucket)).withColumn("n", F.count("*").over(bucket)).where("n > 1")
     met = materialize(met.select("key", "node", "hub"), "buckets")
     low = reps.select("node", "low")
+    # the only shuffle of texts by node: of those that met another; both verifications join against its buckets
+    texts = materialize_by(source.dropDuplicates(["node"]) if _repeats(made) else source, "texts", "node", met)
 
     stars = _likely(met.where("node != hub").select("node", "hub").distinct(), low, coordinates, threshold)
     good = materialize(verify(stars, texts, shingle, threshold), "pairs")
