@@ -12,7 +12,7 @@ Defined results
   index entry of no member     an error, like any damage; with ``errors="skip"`` the package or range gives no rows
   deflated archive member      an error: it can't be read by ranges
   index that is deflated       inflated, and a gzipped one too
-  no package, no record        no row
+  no package, no record        no row; a file of no bytes is no package
   record without a type, uri   null in that column
   writer: null url, id, html   no such header; a null html is a truncated record, and comes back as null
   writer: empty html, repeats  a record each

@@ -13,8 +13,8 @@ Plan: one Arrow pass makes windows, keeping those whose hash occurs in the bench
 few enough to broadcast (PREFILTER_HASHES, checked); the rest of the windows never leaves the worker. Above that size
 all windows go into the join. The join, the consistency check and the count of matched windows are built-in operators.
 
-A document leaks an item if at least half of the item's windows, or MANY of them, are matched consistently. An item
-shorter than WINDOW is one window of its whole length, and must have MIN_WORDS.
+A document leaks an item if at least half of the item's windows, or MANY of them, are matched consistently; MANY
+neighbouring windows are thirteen template words in a row. An item shorter than WINDOW is one window of its whole length, and must have MIN_WORDS.
 
 Defined results
   null or empty text          no leak, kept
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from brindle.llm import bytewords as bw
 from brindle.plans.scratch import materialize
 
-WINDOW, MIN_WORDS, LITERALS, SHARE, MANY = 8, 5, 0.5, 0.5, 8
+WINDOW, MIN_WORDS, LITERALS, SHARE, MANY = 8, 5, 0.5, 0.5, 6
 PREFILTER_HASHES = 4_000_000
 NUMBERS = "zero two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNITS = (

@@ -123,21 +123,22 @@ def scores(paths, paragraphs) -> dict[str, float]:
     """Score of every path that holds text."""
     out: dict[str, float] = {}
     for where, length, inside, _ in paragraphs:
-        worth = length - inside if length >= MIN_PARAGRAPH else 0.2 * (length - inside)
+        worth = (length - inside) * (1.0 if length >= MIN_PARAGRAPH else 0.2)
+        for part in paths[where][0].split(">"):
+            worth *= min(1.0, _factor(part))
         for share in (1.0, 0.5):
-            out[paths[where][0]] = out.get(paths[where][0], 0.0) + share * worth
-            where = paths[where][1]
-            if where < 0:
+            path, above = paths[where]
+            out[path] = out.get(path, 0.0) + share * worth
+            if above < 0:
                 break
-    return {p: s * _factor(p) for p, s in out.items()}
+            where = above
+    return {p: s * max(1.0, _factor(p.rpartition(">")[2])) for p, s in out.items()}
 
 
-def _factor(path: str) -> float:
-    factor = 1.0
-    for part in path.split(">"):
-        tag, _, names = part.partition(".")
-        factor *= FACTOR.get(tag, 1.0) * (0.1 if names and AGAINST.search(names) else 1.0)
-    return factor
+def _factor(part: str) -> float:
+    """What a path's component speaks for (above 1) or against."""
+    tag, _, names = part.partition(".")
+    return FACTOR.get(tag, 1.0) * (0.1 if names and AGAINST.search(names) else 1.0)
 
 
 def best(found: dict[str, float]) -> str | None:
