@@ -140,3 +140,10 @@ def test_streams(spark, tmp_path):
     store.save(spark.createDataFrame([(3,)], "a long"), "t")
     save_stream(read_stream(store, "t"), store, "u", str(tmp_path / "c")).awaitTermination()
     assert sorted(r[0] for r in store.load("u").collect()) == [1, 2, 3]
+
+
+def test_conditions_and_columns_reach_the_scan(spark):
+    store = DataStore(spark, "/root/testdata/sf0.001")
+    frame = store.load(Query().select("l_orderkey").from_table("lineitem").where("l_quantity > :q", q=45))
+    plan = frame._jdf.queryExecution().toString()
+    assert "GreaterThan(l_quantity,45.0)" in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
