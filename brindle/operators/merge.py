@@ -9,7 +9,7 @@ Null keys match nothing and are kept as they are. A null value gives way to the
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping, MutableMapping
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -143,3 +143,55 @@ def merge_in(table: DataFrame, updates: DataFrame, order: str, key: str = "key",
         chain = F.when(F.first("__k") == F.lit(k), folds[s]()) if chain is None else chain.when(F.first("__k") == F.lit(k), folds[s]())
     other = folds[rules.for_type(kind)]()
     return both.groupBy("__k").agg((other if chain is None else chain.otherwise(other)).alias(value)).select(F.col("__k").alias(key), value)
+
+
+class MergeMap(MutableMapping):
+    """A plain mapping on the driver that merges by the same rules; ``a | b`` leaves both as they are."""
+
+    def __init__(self, values: Mapping | None = None, rules: Rules = Rules(), **types):
+        self._values = dict(values or {})
+        self.rules = rules if not types else Rules(rules.by_key, (*rules.by_type, *Rules.of(**types).by_type), rules.default)
+
+    def __getitem__(self, key):
+        return self._values[key]
+
+    def __setitem__(self, key, value) -> None:
+        self._values[key] = value
+
+    def __delitem__(self, key) -> None:
+        del self._values[key]
+
+    def __iter__(self) -> Iterator:
+        return iter(self._values)
+
+    def __len__(self) -> int:
+        return len(self._values)
+
+    def get(self, key, *default):
+        """The key's value; without a default a missing key is an error."""
+        return self._values.get(key, *default) if default else self._values[key]
+
+    def strategy(self, key, left, right) -> str:
+        """By key, by the right value's type, by the left one's, by default."""
+        kinds = [type(v).__name__ for v in (right, left)]
+        found = next((s for s in (dict(self.rules.by_key).get(key), *map(self.rules.type_strategy, kinds), self.rules.default) if s), None)
+        return found or ("sum" if kinds[1] in ("int", "float", "bool") else "replace")
+
+    def merge_in(self, key, value) -> None:
+        """Merge one key's value."""
+        if key not in self._values:
+            self._values[key] = value
+            return
+        old = self._values[key]
+        self._values[key] = {"sum": lambda: old + value, "max": lambda: max(old, value), "min": lambda: min(old, value), "replace": lambda: value}[self.strategy(key, old, value)]()
+
+    def merge(self, other: Mapping) -> MergeMap:
+        out = MergeMap(self._values, self.rules)
+        for key, value in other.items():
+            out.merge_in(key, value)
+        return out
+
+    __or__ = merge
+
+    def to_dict(self) -> dict:
+        return dict(self._values)

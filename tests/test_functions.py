@@ -172,3 +172,18 @@ def test_strict_registration(spark):
     for wrong, override in ((table, False), (rows, True)):
         with pytest.raises(ValueError):
             keyed.register(table, wrong, ["k"], override)
+
+
+def test_merge_map_on_the_driver():
+    m = merge.MergeMap({"a": 1, "b": "x"}, int=max)
+    both = m | {"a": 5, "b": "y", "c": True}
+    assert both.to_dict() == {"a": 5, "b": "y", "c": True} and m.to_dict() == {"a": 1, "b": "x"}
+    assert (merge.MergeMap({"a": 1, "t": True}) | merge.MergeMap({"a": 2, "t": True})).to_dict() == {"a": 3, "t": 2}
+    assert merge.MergeMap({"x": 9}, merge.Rules.of(int=min).set_strategy("x", "max")).merge({"x": 3})["x"] == 9
+    m["d"] = 2
+    del m["a"]
+    assert m.get("d") == 2 and m.get("none", 7) == 7 and "a" not in m and len(m) == 2 and set(m) == {"b", "d"}
+    with pytest.raises(KeyError):
+        m.get("none")
+    with pytest.raises(TypeError):
+        merge.MergeMap({"a": "x"}, str=sum).merge({"a": 1})

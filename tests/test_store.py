@@ -147,3 +147,18 @@ def test_conditions_and_columns_reach_the_scan(spark):
     frame = store.load(Query().select("l_orderkey").from_table("lineitem").where("l_quantity > :q", q=45))
     plan = frame._jdf.queryExecution().toString()
     assert "GreaterThan(l_quantity,45.0)" in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_primary_key_of_a_database_partitions_a_load(spark):
+    url = "jdbc:derby:memory:keys;create=true"
+    store = DataStore(spark, url)
+    store.save(spark.createDataFrame([(1,)], "a int"), "OTHER")  # loads the driver
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    statement = connection.createStatement()
+    statement.execute("CREATE TABLE T (NAME VARCHAR(9) NOT NULL, K BIGINT NOT NULL, V INT, PRIMARY KEY (NAME, K))")
+    statement.execute("INSERT INTO T VALUES " + ", ".join(f"('n{i}', {i}, {i * i})" for i in range(40)))
+    connection.close()
+    assert store._primary_key("T") == ["NAME", "K"]
+    loaded = store.load("T", 5)
+    assert loaded.rdd.getNumPartitions() == 5 and loaded.count() == 40
+    assert store.load("OTHER", 5).count() == 1
