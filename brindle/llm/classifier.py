@@ -20,6 +20,7 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +32,7 @@ from brindle.llm import bytewords as bw
 from brindle.plans.scratch import materialize
 
 #: The training sample's bounds; scoring and everything else covers all rows.
-TRAIN_DOCS, TRAIN_BYTES = 6000, 18_000_000
+TRAIN_DOCS, TRAIN_BYTES = 12_000, 36_000_000
 BUCKET_BITS, DIMENSIONS, GRAMS = 17, 16, (3, 4, 5)
 EPOCHS, RATE, SEED = 6, 4.0, 20240229
 MIN_QUALITY, MAX_TOXIC = 0.5, 0.5
@@ -64,13 +65,17 @@ def features(texts: pa.Array, bits: int = BUCKET_BITS, grams: tuple[int, ...] =
                 yield ((x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA77) >> np.uint32(32 - bits)).astype(np.int32), owner[at]
 
 
-def _sparse(texts: pa.Array, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct buckets of each text with their share of the average."""
+def _sparse(texts: pa.Array, bits: int, rows: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct buckets of each text with their share of the average, as slices of arrays over ``rows`` texts."""
     out = []
-    for i in range(len(texts)):
-        found = [x for x, _ in features(texts.slice(i, 1), bits)]
-        ids, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int32), np.zeros(0))
-        out.append((ids.astype(np.int32), (count / max(1, count.sum())).astype(np.float32)))
+    for start in range(0, len(texts), rows):
+        part = texts.slice(start, rows)
+        found = [(owner.astype(np.int64) << bits) | ids for ids, owner in features(part, bits)]
+        key, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        owner = key >> bits
+        ids, share = (key & ((1 << bits) - 1)).astype(np.int32), (count / np.bincount(owner, count, len(part))[owner]).astype(np.float32)
+        bounds = np.searchsorted(owner, np.arange(len(part) + 1))
+        out += [(ids[i:j], share[i:j]) for i, j in zip(bounds, bounds[1:])]
     return out
 
 
@@ -133,8 +138,8 @@ def train(texts: pa.Array, labels: np.ndarray, *, bits: int = BUCKET_BITS, dimen
     return Model(vectors.astype(np.float64) @ layer.T.astype(np.float64), bias.astype(np.float64), bits)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, most_docs: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> pa.Table:
-    """At most ``most_docs`` labelled documents and ``most_bytes`` of text, whole ones, picked by a hash of doc_id."""
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, most_docs: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """``(id, q, t, text)`` of at most ``most_docs`` labelled documents and ``most_bytes`` of text, whole ones, picked by a hash of doc_id."""
     one = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col("quality").cast("int").alias("q"), F.col("toxic").cast("int").alias("t")).dropna()
     one = one.groupBy("id").agg(F.min("q").alias("q"), F.max("t").alias("t")).orderBy(F.xxhash64("id"), "id").limit(most_docs)
     one = materialize(one, "labels")
@@ -143,14 +148,27 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     # the bound holds for at most most_docs rows, so one task may order them
     total = F.sum(F.octet_length("text").cast("bigint")).over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
     chosen = sample.select("id", total.alias("total")).where(F.col("total") <= most_bytes).select("id")
-    return sample.join(chosen, "id").orderBy("id").toArrow()
+    return sample.join(chosen, "id")
+
+
+def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The whole sample's model as one row of bytes."""
+    rows = pa.Table.from_batches(list(batches), pa.schema([("q", pa.int32()), ("t", pa.int32()), ("text", pa.string())]))
+    q, t = (rows.column(c).to_numpy() for c in ("q", "t"))
+    model = train(rows.column("text").combine_chunks(), 2 * (q > 0) + (t > 0))
+    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.table, model.bias)], ["table", "bias"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> Model:
-    """A model of the labelled documents, of which a bounded sample is used; see ``training_sample``."""
-    rows = training_sample(docs, labels, id_col, text_col, **bounds)
-    q, t = (rows.column(c).to_numpy().astype(int) for c in ("q", "t"))
-    return train(rows.column("text").combine_chunks(), 2 * (q > 0) + (t > 0))
+    """A model of the labelled documents, of which a bounded sample is used; see ``training_sample``.
+
+    Descent is sequential, so one task trains; only the model, of a size that BUCKET_BITS fixes, comes to the driver.
+    """
+    sample = training_sample(docs, labels, id_col, text_col, **bounds).repartition(1).sortWithinPartitions("id").select("q", "t", "text")
+    row = sample.mapInArrow(_train_task, "table binary, bias binary").first()
+    if row is None:
+        return prior_model(np.array([0, 0, 1, 0]))
+    return Model(np.frombuffer(row["table"]).reshape(-1, len(CLASSES)), np.frombuffer(row["bias"]))
 
 
 def scorer(spark, model: Model):

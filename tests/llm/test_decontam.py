@@ -1,0 +1,70 @@
+import random
+import re
+
+import pyarrow.parquet as pq
+import pytest
+
+from brindle.llm import decontam as D
+
+SF = "/root/testdata/sf0.01"
+ITEM = "John has 12 apples and gives 5 km of rope to Mary Smith. How many apples does John have left after 12 days?"
+
+
+def _found(spark, docs, items, **how):
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in D.leaks(docs, items, **how).collect()}
+
+
+def test_equals_brute_force_on_the_tables(spark):
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    words = lambda t: re.findall(r"\w+", t.lower())
+    held = [(i, " ".join(words(t))) for i, t in zip(*(pq.read_table(f"{SF}/benchmark.parquet").column(c).to_pylist() for c in ("item_id", "text")))]
+    wanted = set()
+    for d, t in zip(*(pq.read_table(f"{SF}/documents.parquet").column(c).to_pylist() for c in ("doc_id", "text"))):
+        text = " " + " ".join(words(t or "")) + " "
+        wanted |= {(d, i) for i, item in held if f" {item} " in text}
+    found = {(r.doc_id, r.item_id) for r in D.leaks(docs, items).collect()}
+    assert found == wanted and len(found) > 20
+    assert {(r.doc_id, r.item_id) for r in D.leaks(docs, items, prefilter=0).collect()} == wanted
+    clean = {r.doc_id for r in D.decontaminate(docs, items).collect()}
+    assert clean == {r.doc_id for r in docs.collect()} - {d for d, _ in wanted}
+
+
+@pytest.mark.parametrize(
+    "text, leaks",
+    [
+        (ITEM, True), (ITEM.upper(), True), (ITEM.replace(".", "").replace("?", ""), True), ("Before that. " + ITEM + " And after.", True), (f"no full stop {ITEM} nor here", True),
+        # other numbers, names and units
+        ("So Peter has 17 apples and gives 8 miles of rope to Anna Low. How many apples does Peter have left after 17 weeks?", True),
+        ("So Peter has 1,700 apples and gives 8.5 miles of rope to Anna. How many apples does Peter have left after 1,700 weeks?", True),
+        # 12 would have to be both 17 and 19
+        ("So Peter has 17 apples and gives 8 miles of rope to Anna Low. How many apples does Peter have left after 19 weeks?", False),
+        ("Somebody has 12 apples.", False), ("", False), (None, False),
+        (" ".join(ITEM.split()[:14]), True), ("x " * 3000 + ITEM + " y" * 3000, True),
+    ],
+)
+def test_re_parameterised_questions(spark, text, leaks):
+    assert _found(spark, [text], [ITEM]) == ({(0, 0)} if leaks else set())
+
+
+def test_frames_of_placeholders_match_nothing(spark):
+    assert _found(spark, ["1 2 km 3 m 4 kg 5 g 6 cm 7 mm 8 l", "Anna Low 1 Bob 2 Carl 3 Dora 4 Emil 5 Fritz 6"], ["9 8 km 7 m 6 kg 5 g 4 cm 3 mm 2 l", "Zoe 1 Yan 2 Xi 3 Will 4 Vera 5 Uwe 6"]) == set()
+
+
+def test_short_items_and_defined_results(spark):
+    items = spark.createDataFrame([(1, "red blue green white black"), (2, "too short"), (3, None), (4, ""), (5, "red blue green white black"), (6, ITEM)], "item_id long, text string")
+    rows = [(1, "see red blue green white black here", 1, "k"), (1, ITEM, 1, "k"), (None, ITEM, 1, "k"), (2, "clean text of some words that stays", 1, "k"), (3, None, 1, "k"), (3, "", 1, "k"), (4, ITEM, 1, "k"), (4, ITEM, 1, "k"), (5, "too short", 1, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int, key string")
+    found = {(r.doc_id, r.item_id) for r in D.leaks(docs, items).collect()}
+    assert found == {(1, 1), (1, 5), (1, 6), (None, 6), (4, 6)}
+    kept = D.decontaminate(docs, items)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 3, 5]
+    assert D.leaks(docs.limit(0), items).count() == 0 and D.leaks(docs, items.limit(0)).count() == 0
+    assert D.decontaminate(docs, items.limit(0)).count() == len(rows)
+
+
+def test_unrelated_texts_stay(spark, prose):
+    random.seed(8)
+    items = [prose(random.randint(12, 60)) for _ in range(30)]
+    assert _found(spark, [prose(200) for _ in range(50)], items) == set()
