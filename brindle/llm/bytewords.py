@@ -204,7 +204,7 @@ def _fold_few(h: np.ndarray) -> int:
     return total
 
 
-def row_slices(texts: pa.Array, most: int = 1 << 23, rows: int = 1 << 15):
+def row_slices(texts: pa.Array, most: int = 1 << 21, rows: int = 1 << 13):
     """Consecutive slices of the column with about ``most`` bytes and at most ``rows`` rows each."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
