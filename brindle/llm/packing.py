@@ -125,4 +125,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, len
     total = rows.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(total / group_tokens))
     rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("length"))), F.lit(groups)))
-    return rows.groupBy("pack_group").applyInArrow(_pack_group(capacity), BIN_TYPE)
+    # a number of partitions of its own: rows are so slim that by bytes all groups would share one task
+    tasks = min(groups, 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, "pack_group").groupBy("pack_group").applyInArrow(_pack_group(capacity), BIN_TYPE)
