@@ -26,6 +26,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.plans.scratch import materialize
+
 ITERATIONS, MIN_POSTERIOR = 30, 0.5
 #: Where estimation starts: share of good documents, accuracy on good ones, accuracy on bad ones; and pseudo-counts.
 START, PRIOR_WEIGHT = (0.8, 0.95, 0.5), 2.0
@@ -151,7 +153,9 @@ def _passing(judged: DataFrame) -> DataFrame:
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, posterior)`` of the documents that stay."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return _passing(judge(slim)).select("__row.doc_id", "posterior")
+    # the votes are a few numbers a document: written, so that texts are read once
+    voted = materialize(votes(slim).select("__row.doc_id", "__n", *(f"v_{r[0]}" for r in RULES)), "votes")
+    return voted.select("doc_id", F.round(posterior(learn(voted)), 6).alias("posterior")).where(F.col("posterior") >= MIN_POSTERIOR)
 
 
 def sql(table: str = "documents") -> str:
