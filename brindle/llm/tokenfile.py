@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm import bytewords as bw
 from brindle.llm import tokens
@@ -32,19 +33,21 @@ ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 1 << 18, 1000
 OWN = ("doc_id", "n_tokens", "token_ids")
 
 
-def encode_column(spark: SparkSession, vocabulary: str = tokens.VOCABULARY):
-    """A Column function: text to its list of ids."""
-    shared = tokens.broadcast_vocabulary(spark, vocabulary)
+def _encoder(shared):
+    """Batches of metadata and, last, text to batches of metadata, number of ids and ids; one small batch for each slice of text."""
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            out = [pa.array([], pa.list_(pa.int32()))]
-            for part in bw.row_slices(texts, tokens.BATCH):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, at = batch.schema.names[:-1], 0
+            for part in bw.row_slices(batch.column(batch.num_columns - 1), tokens.BATCH):
                 ids, bounds = tokens.encode(part, shared.value)
-                out.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=part.is_null()))
-            yield pa.concat_arrays(out)
+                none = part.is_null()
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=none)
+                counts = pa.array(np.diff(bounds).astype(np.int32), mask=np.asarray(none))
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(part)).columns[:-1], counts, lists], [*names, "n_tokens", "token_ids"])
+                at += len(part)
 
-    return F.arrow_udf(run, "array<int>").asNondeterministic()
+    return run
 
 
 def writer_options(encoding: str = "dictionary", row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS) -> dict[str, str]:
@@ -62,8 +65,9 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """Write the token table of ``docs`` to ``path``; see ``writer_options`` for the layout."""
     if clash := set(metadata) & set(OWN):
         raise ValueError(f"metadata columns {sorted(clash)} clash with the token table's own")
-    made = docs.select(F.col(id_col).alias("doc_id"), *(F.col(f"`{c}`") for c in metadata), encode_column(docs.sparkSession, vocabulary)(F.col(text_col).cast("string")).alias("token_ids"))
-    made = made.select("doc_id", *(f"`{c}`" for c in metadata), F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"), "token_ids")
+    rows = docs.select(F.col(id_col).alias("doc_id"), *(F.col(f"`{c}`") for c in metadata), F.col(text_col).cast("string").alias("__text"))
+    kinds = T.StructType([*rows.schema.fields[:-1], T.StructField("n_tokens", T.IntegerType()), T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
+    made = rows.mapInArrow(_encoder(tokens.broadcast_vocabulary(docs.sparkSession, vocabulary)), kinds)
     made.sortWithinPartitions("doc_id").write.options(**writer_options(**layout)).parquet(path)
 
 
