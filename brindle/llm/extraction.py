@@ -12,6 +12,7 @@ second pass is a few paths a host, broadcast where that table is small and joine
 Defined results
   null or empty html         empty text, null path, no vote
   no tags                    the whole text, path ``body``
+  long attribute values      read whole, whatever their length; a > in them doesn't end the tag
   null or broken url         such pages don't vote; each is extracted by its own best path
   ties                       of paths with equal scores or votes the one first in the alphabet
   no winning path in a page  the page's own best path
@@ -34,11 +35,10 @@ from brindle.llm import bytewords as bw
 from brindle.plans.scratch import materialize
 
 MIN_SHARE, MIN_PARAGRAPH = 0.2, 20
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]{0,4000}+"|'[^']{0,4000}+'|["'])*+)>""",
-    re.S | re.I,
-)
+_OPAQUE = r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
+#: A quote opens a value after a = only, and a value without a closing quote ends at a blank.
+_ATTRIBUTES = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+"""
+TOKEN, LOOSE = (re.compile(rf"{_OPAQUE}|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({inner})(>|\Z)", re.S | re.I) for inner in (_ATTRIBUTES, "[^>]*+"))
 CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 CONTAINERS = frozenset("body div article section main td aside header footer nav form blockquote ul ol dl table figure center".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li pre tr th dt dd hr address figcaption fieldset option caption".split())
@@ -60,12 +60,25 @@ def _segment(tag: str, attributes: str) -> str:
     return ".".join([tag, *sorted(x for x in names if x.count("#") < 2)])
 
 
+def _tokens(html: str) -> Iterator[re.Match]:
+    """Tags and what is left out, each character met a fixed number of times; from a tag without an end on, tags end at their first >."""
+    pattern, at = TOKEN, 0
+    while m := pattern.search(html, at):
+        if m[3] is None or m[5]:
+            yield m
+            at = m.end()
+        elif pattern is TOKEN:
+            pattern, at = LOOSE, m.start()
+        else:
+            return
+
+
 def elements(html: str) -> tuple[list[str], list[tuple[int, int, bool, str]]]:
     """Container elements as (path of each, and its parent's number), and the runs of text: (container, block, in a link, text)."""
     paths, texts = [("body", -1)], []
     stack: list[tuple[str, int]] = []  # open elements: tag, number of the container that surrounds them
     here, block, links, at = 0, 0, 0, 0
-    for m in TOKEN.finditer(html):
+    for m in _tokens(html):
         if m.start() > at:
             texts.append((here, block, links > 0, html[at : m.start()]))
         at = m.end()

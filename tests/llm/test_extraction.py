@@ -1,3 +1,7 @@
+import time
+
+import pytest
+
 from brindle.llm import extraction as X
 
 
@@ -54,6 +58,25 @@ def test_defined_results(spark):
     assert X.extract_pages(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [3_000, 10_000, 1_000_000])
+@pytest.mark.parametrize("quote", ['"', "'"])
+@pytest.mark.parametrize("unit", ["abcdefgh", "ab > <p>"])
+def test_long_attribute_values(size, quote, unit):
+    value = quote + unit * (size // 8) + quote
+    body = f'<div data-x={value} class="main"><p>First paragraph of the page</p><img alt="" src = {value}><p>Second paragraph of the page</p><p>Third <a href="/y">link</a> and more of it</p></div><footer>the end</footer>'
+    assert X.extract(body, None) == ("body>div.main", "First paragraph of the page\nSecond paragraph of the page\nThird link and more of it")
+
+
+def test_stray_quotes_and_tags_without_an_end():
+    text = "words of the text " * 400
+    assert X.extract(f'<p title="a"">{text}</p><p class=b">one "two" more</p><p don\'t>three</p>', None)[1] == f'{text.strip()}\none "two" more\nthree'
+    assert X.extract('<p>one</p><a title="<b>two</b>', None)[1] == "one\ntwo"
+    for unit in ("<a ", '<a x="', '<a x=">"', "<a x='"):
+        start = time.perf_counter()
+        sum(1 for _ in X._tokens(unit * 100_000))
+        assert time.perf_counter() - start < 5
+
+
 def test_ties_and_paths():
     assert X.best({"b": 2.0, "a": 2.0, "c": 1.0}) == "a" and X.best({}) is None
     assert X._segment("div", ' class="B2 a10 x1y2 A10"') == "div.a#.b#"
