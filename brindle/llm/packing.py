@@ -1,13 +1,14 @@
 """Operator 2: best-two-fit packing of documents into training sequences of a fixed length.
 
-Lengths are those of the sequences' tokens; by default a byte-level vocabulary, so a document has as many tokens as
-UTF-8 bytes, and a column of other counts may be named instead. A bin is filled greedily, largest document first and
+Lengths are token counts of whole texts in the vocabulary of ``tokens``, so starts and lengths are places in the token lists
+that ``tokenfile`` writes. Other units are options: a capacity given is one in UTF-8 bytes, or in a named column's counts. A bin is filled greedily, largest document first and
 then always the largest that fits. When nothing fits any more, the bin's smallest document is put back if two unpacked
 documents fit the gap that it leaves, and fill it better; of all such pairs the tightest is taken.
 
 Documents longer than a bin are cut into full bins and a rest that is packed like a document. Bins are made within
 groups of documents picked by a hash of doc_id; there are enough documents in a group for its last bins not to matter,
-and their number follows the corpus, so that every task has the same work at any scale. Only ids and lengths move.
+and their number follows the corpus, so that every task has the same work at any scale. Texts are encoded once, where they
+are read; only ids and lengths are written, and move.
 
 Defined results
   null or empty text, length 0 or null   in no bin
@@ -28,6 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm import tokens
+from brindle.plans.scratch import materialize
+
 CAPACITY, GROUP_TOKENS = 8192, 1 << 26
 BIN_TYPE = "pack_group bigint, pack_bin bigint, n_tokens bigint, doc_ids array<bigint>, starts array<bigint>, lengths array<bigint>"
 
@@ -118,10 +122,28 @@ def _pack_group(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length_col: str | None = None, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """One row a bin: its group and number, tokens used, and for each piece the doc_id, where it starts and its length."""
-    length = F.col(length_col) if length_col else F.octet_length(F.col(text_col).cast("string"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), length.cast("bigint").alias("length")).where("length > 0")
+def pack(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    sequence_tokens: int = CAPACITY,
+    vocabulary: str = tokens.VOCABULARY,
+    length_col: str | None = None,
+    capacity: int | None = None,
+    group_tokens: int = GROUP_TOKENS,
+) -> DataFrame:
+    """One row a bin: its group and number, tokens used, and for each piece the doc_id, where it starts and its length.
+
+    Bins hold ``sequence_tokens`` tokens of the vocabulary. With ``length_col`` its counts are lengths, and with a
+    ``capacity`` alone UTF-8 bytes; either way ``capacity`` and all that is returned are in that unit.
+    """
+    text = F.col(text_col).cast("string")
+    counted = length_col is None and capacity is None
+    length = tokens.counter(docs.sparkSession, vocabulary)(text) if counted else F.col(length_col) if length_col else F.octet_length(text)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), length.cast("bigint").alias("length"))
+    rows = (materialize(rows, "lengths") if counted else rows).where("length > 0")
+    capacity = capacity or sequence_tokens
     total = rows.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(total / group_tokens))
     rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("length"))), F.lit(groups)))

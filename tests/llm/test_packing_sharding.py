@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import packing as P
 from brindle.llm import sharding as S
+from brindle.llm import tokenfile
 
 
 def _brute(lengths, capacity):
@@ -67,6 +68,24 @@ def test_pack_covers_every_byte_once(spark, prose):
     assert P.pack(docs.limit(0), capacity=100).count() == 0
 
 
+def test_lengths_are_tokens_of_the_written_lists(spark, prose, tmp_path):
+    rows = [(i, prose(20 + i)) for i in range(60)] + [(100, prose(9000)), (101, "é漢🎉 " * 40), (102, None), (103, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tokenfile.write_tokens(docs, str(tmp_path / "t"))
+    count = {r.doc_id: r.n for r in spark.read.parquet(str(tmp_path / "t")).select("doc_id", F.size("token_ids").alias("n")).collect() if r.n and r.n > 0}
+    for bins, most in ((P.pack(docs).collect(), P.CAPACITY), (P.pack(docs, sequence_tokens=100).collect(), 100)):
+        pieces = {}
+        for b in bins:
+            assert b.n_tokens == sum(b.lengths) <= most
+            for d, s, n in zip(b.doc_ids, b.starts, b.lengths):
+                pieces.setdefault(d, []).append((s, n))
+        assert {d: sum(n for _, n in p) for d, p in pieces.items()} == count
+        assert all(s == sum(n for _, n in sorted(p)[:k]) for p in pieces.values() for k, (s, _) in enumerate(sorted(p)))
+    # more bytes than a sequence has tokens, yet it fits whole
+    fits = spark.createDataFrame([(1, "the of and to in is " * 450)], "doc_id long, text string")
+    assert fits.selectExpr("octet_length(text) AS n").first().n > P.CAPACITY and [r.starts for r in P.pack(fits).collect()] == [[0]]
+
+
 @pytest.fixture(scope="module")
 def shard_docs(spark, tmp_path_factory):
     random.seed(6)
