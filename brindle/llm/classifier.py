@@ -12,6 +12,7 @@ Defined results
   null, empty or blank text   no evidence: the class priors of the training sample; kept only if they say so
   labels                      rows with a null are ignored; of repeated doc_ids the worst quality and toxicity count
   no usable label             priors are (quality 1, not toxic): everything is kept
+  labels of absent documents  not counted in the sample; where usable labels leave no sample of a table with rows, an error
   one class only              the priors alone decide
   ties at the thresholds      p_quality equal to its threshold keeps, p_toxic equal to its threshold rejects
   repeated rows               each row is scored by itself
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import bytewords as bw
@@ -139,16 +140,37 @@ def train(texts: pa.Array, labels: np.ndarray, *, bits: int = BUCKET_BITS, dimen
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, most_docs: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> DataFrame:
-    """``(id, q, t, text)`` of at most ``most_docs`` labelled documents and ``most_bytes`` of text, whole ones, picked by a hash of doc_id."""
-    one = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col("quality").cast("int").alias("q"), F.col("toxic").cast("int").alias("t")).dropna()
-    one = one.groupBy("id").agg(F.min("q").alias("q"), F.max("t").alias("t")).orderBy(F.xxhash64("id"), "id").limit(most_docs)
-    one = materialize(one, "labels")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    """``(id, q, t, text)`` of at most ``most_docs`` labelled documents and ``most_bytes`` of text, whole ones, picked by a hash of doc_id.
+
+    Labels count only where ``docs`` has a text for them. A document that doesn't fit what is left of ``most_bytes`` is passed over.
+    """
+    one = _usable(labels, id_col).groupBy("id").agg(F.min("q").alias("q"), F.max("t").alias("t"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").where(F.octet_length("text") <= most_bytes)
+    one = materialize(one.join(texts.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(most_docs), "labels")
     sample = materialize(texts.join(one, "id").groupBy("id", "q", "t").agg(F.min("text").alias("text")), "sample")
     # the bound holds for at most most_docs rows, so one task may order them
-    total = F.sum(F.octet_length("text").cast("bigint")).over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
-    chosen = sample.select("id", total.alias("total")).where(F.col("total") <= most_bytes).select("id")
-    return sample.join(chosen, "id")
+    sizes = sample.select("id", F.octet_length("text").cast("bigint").alias("n")).repartition(1).sortWithinPartitions(F.xxhash64("id"), "id")
+    return sample.join(sizes.mapInArrow(_fitting(most_bytes), "id bigint"), "id")
+
+
+def _usable(labels: DataFrame, id_col: str) -> DataFrame:
+    return labels.select(F.col(id_col).cast("bigint").alias("id"), F.col("quality").cast("int").alias("q"), F.col("toxic").cast("int").alias("t")).dropna()
+
+
+def _fitting(most: int):
+    """In order, the ids of (id, size) whose sizes fit what those before have left of ``most``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = most
+        for batch in batches:
+            chosen = []
+            for doc, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if n <= left:
+                    left -= n
+                    chosen.append(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(chosen, pa.int64())], ["id"])
+
+    return run
 
 
 def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +178,7 @@ def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = pa.Table.from_batches(list(batches), pa.schema([("q", pa.int32()), ("t", pa.int32()), ("text", pa.string())]))
     q, t = (rows.column(c).to_numpy() for c in ("q", "t"))
     model = train(rows.column("text").combine_chunks(), 2 * (q > 0) + (t > 0))
-    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.table, model.bias)], ["table", "bias"])
+    yield pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in (model.table, model.bias)), pa.array([len(rows)], pa.int64())], ["table", "bias", "n"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> Model:
@@ -165,8 +187,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Descent is sequential, so one task trains; only the model, of a size that BUCKET_BITS fixes, comes to the driver.
     """
     sample = training_sample(docs, labels, id_col, text_col, **bounds).repartition(1).sortWithinPartitions("id").select("q", "t", "text")
-    row = sample.mapInArrow(_train_task, "table binary, bias binary").first()
-    if row is None:
+    row = sample.mapInArrow(_train_task, "table binary, bias binary, n bigint").first()
+    if row is None or not row["n"]:
+        if not _usable(labels, id_col).isEmpty() and not docs.isEmpty():
+            raise ValueError("there are usable labels, but none of a document that is present and fits the sample's bounds")
         return prior_model(np.array([0, 0, 1, 0]))
     return Model(np.frombuffer(row["table"]).reshape(-1, len(CLASSES)), np.frombuffer(row["bias"]))
 

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import classifier as C
 from brindle.llm import rules as R
@@ -56,6 +57,26 @@ def test_classifier_defined_results(spark, prose):
     assert C.training_sample(docs, labels, most_bytes=100).count() < 10 and C.training_sample(docs, labels, most_docs=10).count() == 10
 
 
+def test_sample_takes_present_documents_that_fit(spark, prose):
+    docs = spark.createDataFrame([(i, "kind words " * 5) for i in range(40)] + [(100, "x" * 5000), (101, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in (*range(40), 100, 101, *range(1000, 3000))], "doc_id long, quality int, toxic int")
+    ids = lambda **how: {r.id for r in C.training_sample(docs, labels, **how).collect()}
+    # labels of absent documents, or of those without a text, take up none of the bound
+    assert ids(most_docs=41) == {*range(40), 100} and len(ids(most_docs=30)) == 30
+    # neither a text above the bound nor one above what is left of it ends the sample
+    assert ids(most_bytes=40 * 55) == set(range(40)) and len(ids(most_bytes=5100)) >= 1
+    order = spark.createDataFrame([(i,) for i in range(20)], "doc_id long").orderBy(F.xxhash64("doc_id")).collect()
+    second = order[1].doc_id
+    mixed = spark.createDataFrame([(i, "y" * (900 if i == second else 50)) for i in range(20)], "doc_id long, text string")
+    assert {r.id for r in C.training_sample(mixed, labels, most_bytes=940).collect()} == set(range(20)) - {second} - {r.doc_id for r in order[19:]}
+    with pytest.raises(ValueError, match="usable labels"):
+        C.fit(docs, labels.where("doc_id >= 1000"))
+    with pytest.raises(ValueError, match="usable labels"):
+        C.fit(docs, labels, most_bytes=10)
+    assert C.classify(docs, C.fit(docs, labels.where("doc_id > 9999"))).count() == 42
+    assert C.classify(docs.limit(0), C.fit(docs.limit(0), labels)).count() == 0
+
+
 @pytest.fixture(scope="module")
 def edge_docs(spark, prose):
     random.seed(9)
