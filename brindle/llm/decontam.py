@@ -6,8 +6,9 @@ benchmark's by a hash join, and the slots, the words that placeholders stand for
 alignment: one value of the item always meets one value in the document. So a question is caught with other names and
 numbers in it too, but not a text that merely shares the frame while mixing up its slots.
 
-There are two templates of each text. In the first, numbers and units are slots and all other words literal whatever
-their case; in the second, capitalised words are names as well, but for stop words that begin a sentence.
+There are two templates of each text, and its folded words as they are. In the first, numbers and units are slots and all other words literal whatever
+their case; in the second, capitalised words are names as well, but for stop words that begin a sentence. The third kind has no slots: its windows, of
+which no share of literals is asked, find copies word for word, also of items that are all numbers and measures.
 
 Plan: one Arrow pass makes windows, keeping those whose hash occurs in the benchmark where the benchmark's hashes are
 few enough to broadcast (PREFILTER_HASHES, checked); the rest of the windows never leaves the worker. Above that size
@@ -15,12 +16,13 @@ all windows go into the join. The join, the consistency check and the count of m
 
 A document leaks an item if at least half of the item's windows, or MANY of them, are matched consistently; MANY
 neighbouring windows are thirteen template words in a row. An item shorter than WINDOW is one window of its whole length, and must have MIN_WORDS.
+Both count words as they are in the third kind.
 
 Defined results
   null or empty text          no leak, kept
   null doc_id                 reported with a null, dropped by ``decontaminate``
   repeated rows               each is reported, once for every item; one doc_id with several texts has their union
-  null, empty or short items  fewer than MIN_WORDS template words match nothing
+  null, empty or short items  fewer than MIN_WORDS words match nothing
   repeated items              reported under each item_id
   no document, no benchmark   no leak
   extra or clashing columns   carried along untouched by ``decontaminate``
@@ -49,6 +51,7 @@ STOP = (
     "der die das und den von zu mit ist nicht ein eine auf im le la les de des du et en un une est que qui dans pour sur el los las y del se por con para al"
 ).split()
 NUMBER, UNIT, NAME = 1, 2, 3
+EXACT = 2
 WINDOW_TYPE = "array<struct<hash: bigint, pos: int, kind: int, slots: array<bigint>>>"
 _SLOT_HASH = bw.mix(np.arange(4, dtype=np.uint64) + np.uint64(0x5107))
 
@@ -69,7 +72,7 @@ _sets: list[np.ndarray] = []
 
 
 def templates(texts: pa.Array):
-    """For both templates: (kind, hash of each template word, its slot type or 0, its value, row bounds)."""
+    """For both templates and the words as they are (EXACT): (kind, hash of each template word, its slot type or 0, its value, row bounds)."""
     if not _sets:
         _sets[:] = [_known(NUMBERS), _known(UNITS), _known(STOP)]
     data, off = bw.utf8(texts)
@@ -102,6 +105,7 @@ def templates(texts: pa.Array):
     named = slot.copy()
     named[(slot == 0) & capital & ~(first & _in(h, _sets[2]))] = NAME
     yield 1, *_collapse(h, named, row, same, n)
+    yield EXACT, *_collapse(h, np.zeros_like(slot), row, same, n)
 
 
 def _collapse(h, slot, row, same, n):
@@ -136,7 +140,7 @@ def windows(texts: pa.Array, size: int, whole: bool, known: np.ndarray | None, s
             for k in range(s):
                 total = total * np.uint64(0x100000001B3) + h[k : k + room]
             total = bw.mix(total)
-            ok = (row[:room] == row[s - 1 :]) & (literal[s:] - literal[:room] >= LITERALS * s)
+            ok = (row[:room] == row[s - 1 :]) & (literal[s:] - literal[:room] >= LITERALS * s)  # all words of EXACT are literal
             if s < size and whole:
                 ok &= n[row[:room]] == s
             at = np.flatnonzero(ok)

@@ -52,6 +52,13 @@ def test_frames_of_placeholders_match_nothing(spark):
     assert _found(spark, ["1 2 km 3 m 4 kg 5 g 6 cm 7 mm 8 l", "Anna Low 1 Bob 2 Carl 3 Dora 4 Emil 5 Fritz 6"], ["9 8 km 7 m 6 kg 5 g 4 cm 3 mm 2 l", "Zoe 1 Yan 2 Xi 3 Will 4 Vera 5 Uwe 6"]) == set()
 
 
+@pytest.mark.parametrize("item", ["Sort these numbers: 9, 4, 7, 1, 3, 8, 2", "5 km 3 m 20 cm, 7 kg 30 g, 4 l 2 ml", "1 2 3 4 5 6 7 8 9 10 11 12", "Anna Low Bob Carl Dora"])
+def test_items_of_slots_match_word_for_word(spark, item):
+    other = "".join(str(9 - int(c)) if c.isdigit() else c for c in item).replace("Anna", "Emil")
+    assert _found(spark, [f"some text before. {item} and after it", item.lower(), other, item.split()[0]], [item]) == {(0, 0), (1, 0)}
+    assert _found(spark, [item], [item], prefilter=0) == {(0, 0)}
+
+
 def test_short_items_and_defined_results(spark):
     items = spark.createDataFrame([(1, "red blue green white black"), (2, "too short"), (3, None), (4, ""), (5, "red blue green white black"), (6, ITEM)], "item_id long, text string")
     rows = [(1, "see red blue green white black here", 1, "k"), (1, ITEM, 1, "k"), (None, ITEM, 1, "k"), (2, "clean text of some words that stays", 1, "k"), (3, None, 1, "k"), (3, "", 1, "k"), (4, ITEM, 1, "k"), (4, ITEM, 1, "k"), (5, "too short", 1, "k")]
