@@ -3,7 +3,8 @@
 Words of a text become template words: numbers, names and units of measure turn into typed placeholders (runs of one
 type into one), all else is folded. Every window of WINDOW template words is hashed, documents' windows meet the
 benchmark's by a hash join, and the slots, the words that placeholders stand for, must be consistent along each
-alignment: one value of the item always meets one value in the document. So a question is caught with other names and
+alignment: a window at odds with what a value of the item meets at most of its places doesn't count, unless its slots
+are the item's own; where a value has no such majority, only windows with the item's own slots count. So a question is caught with other names and
 numbers in it too, but not a text that merely shares the frame while mixing up its slots.
 
 There are two templates of each text, and its folded words as they are. In the first, numbers and units are slots and all other words literal whatever
@@ -52,7 +53,7 @@ STOP = (
 ).split()
 NUMBER, UNIT, NAME = 1, 2, 3
 EXACT = 2
-WINDOW_TYPE = "array<struct<hash: bigint, pos: int, kind: int, slots: array<bigint>>>"
+WINDOW_TYPE = "array<struct<hash: bigint, pos: int, kind: int, slots: array<bigint>, spots: array<int>>>"
 _SLOT_HASH = bw.mix(np.arange(4, dtype=np.uint64) + np.uint64(0x5107))
 
 
@@ -156,20 +157,21 @@ def _lists(texts: pa.Array, size: int, whole: bool, known, sizes) -> pa.Array:
         for kind, s, h, row, pos, at, slot, value in windows(part, size, whole, known, sizes):
             spot = at[:, None] + np.arange(s)
             filled = slot[spot] > 0
-            found.append((h, row, pos, np.full(len(h), kind), filled.sum(axis=1), value[spot][filled]))
-        h, row, pos, kind, many, slots = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64))
+            found.append((h, row, pos, np.full(len(h), kind), filled.sum(axis=1), value[spot][filled], np.nonzero(filled)[1]))
+        h, row, pos, kind, many, slots, spots = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64), np.zeros(0, np.int64))
         order = np.argsort(row, kind="stable")
         begin = (np.cumsum(many) - many)[order]
         many = many[order]
-        flat = slots[np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())] if len(many) else slots
-        values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(flat.view(np.int64)))
-        item = pa.StructArray.from_arrays([pa.array(h[order].view(np.int64)), pa.array(pos[order].astype(np.int32)), pa.array(kind[order].astype(np.int32)), values], ["hash", "pos", "kind", "slots"])
+        at = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        bounds = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
+        values, spots = (pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (slots[at].view(np.int64), spots[at].astype(np.int32)))
+        item = pa.StructArray.from_arrays([pa.array(h[order].view(np.int64)), pa.array(pos[order].astype(np.int32)), pa.array(kind[order].astype(np.int32)), values, spots], ["hash", "pos", "kind", "slots", "spots"])
         out.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(len(part) + 1)).astype(np.int32)), item))
     return pa.concat_arrays(out)
 
 
 def _arrow_type() -> pa.DataType:
-    return pa.list_(pa.struct([("hash", pa.int64()), ("pos", pa.int32()), ("kind", pa.int32()), ("slots", pa.list_(pa.int64()))]))
+    return pa.list_(pa.struct([("hash", pa.int64()), ("pos", pa.int32()), ("kind", pa.int32()), ("slots", pa.list_(pa.int64())), ("spots", pa.list_(pa.int32()))]))
 
 
 def _item_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -196,6 +198,23 @@ def _key(docs: DataFrame, id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string"))
 
 
+def _consistent(windows: Column) -> Column:
+    """Positions of an alignment's windows that count: those with the item's own values, and those at odds with no value's majority.
+
+    A value of the item is represented by what it meets at most of its places; where one has no majority, only the former count.
+    """
+    pairs = F.array_distinct(F.flatten(F.transform(windows, lambda w: w["pairs"])))
+    same = lambda p, q: (p["item_slots"] == q["item_slots"]) & (p["slots"] == q["slots"])
+    several = lambda p: F.exists(pairs, lambda q: (p["item_slots"] == q["item_slots"]) & (p["slots"] != q["slots"]))
+    most = lambda p: 2 * F.size(F.filter(pairs, lambda q: same(p, q))) > F.size(F.filter(pairs, lambda q: p["item_slots"] == q["item_slots"]))
+    odd = F.filter(pairs, lambda p: several(p) & ~most(p))
+    split = F.exists(odd, lambda p: ~F.exists(pairs, lambda q: (p["item_slots"] == q["item_slots"]) & most(q)))
+    verbatim = lambda w: F.forall(w["pairs"], lambda p: p["item_slots"] == p["slots"])
+    agrees = lambda w: ~F.exists(w["pairs"], lambda p: F.exists(odd, lambda q: same(p, q)))
+    kept = F.when(F.size(odd) == 0, windows).when(split, F.filter(windows, verbatim)).otherwise(F.filter(windows, lambda w: verbatim(w) | agrees(w)))
+    return F.transform(kept, lambda w: w["item_pos"])
+
+
 def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, prefilter: int) -> DataFrame:
     spark = docs.sparkSession
     items, sizes = _item_windows(benchmark, item_col, item_text_col), _short_sizes(benchmark, item_text_col)
@@ -206,11 +225,10 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _key(docs, id_col, text_col).alias("key"), made(F.col(text_col).cast("string")).alias("w"))
     # a generator instead of a filter keeps the optimizer from running the function twice
     hits = rows.select("doc_id", "key", F.explode("w").alias("w")).select("doc_id", "key", "w.*")
-    met = hits.join(items, ["hash", "kind"]).distinct()
-    pairs = F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))
-    along = met.groupBy("doc_id", "key", "item_id", "kind", "item_windows", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set("item_pos").alias("places"), F.array_distinct(pairs).alias("pairs"))
-    # one value of the item always meets one value of the document
-    along = along.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"]))))
+    met = hits.join(items, ["hash", "kind"]).withColumn("spot", F.transform("spots", lambda k: k + F.col("item_pos"))).drop("spots").distinct()
+    own = F.struct("item_pos", F.arrays_zip("spot", "item_slots", "slots").alias("pairs"))
+    along = met.groupBy("doc_id", "key", "item_id", "kind", "item_windows", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set(own).alias("windows"))
+    along = along.withColumn("places", _consistent(F.col("windows"))).where(F.size("places") > 0)
     found = along.groupBy("doc_id", "key", "item_id", "kind", "item_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched"))
     found = found.where((F.col("matched") >= MANY) | (F.col("matched") >= SHARE * F.col("item_windows")))
     return found.groupBy("doc_id", "key", "item_id").agg(F.max("matched").cast("bigint").alias("matched_windows"))

@@ -59,6 +59,13 @@ def test_items_of_slots_match_word_for_word(spark, item):
     assert _found(spark, [item], [item], prefilter=0) == {(0, 0)}
 
 
+def test_one_changed_value_hides_no_leak(spark):
+    assert _found(spark, [ITEM.replace("12 apples", "17 apples"), ITEM.replace("12 days", "17 days")], [ITEM]) == {(0, 0), (1, 0)}
+    # 12 meets 17 at two places of three; no window of words as they are is met often enough
+    item = "John has 12 apples and gives them to Mary after 12 days. How often did John then see the 12 apples?"
+    assert _found(spark, ["Peter has 17 apples and gives them to Anna after 17 days. How often did Peter then see the 19 apples?"], [item]) == {(0, 0)}
+
+
 def test_short_items_and_defined_results(spark):
     items = spark.createDataFrame([(1, "red blue green white black"), (2, "too short"), (3, None), (4, ""), (5, "red blue green white black"), (6, ITEM)], "item_id long, text string")
     rows = [(1, "see red blue green white black here", 1, "k"), (1, ITEM, 1, "k"), (None, ITEM, 1, "k"), (2, "clean text of some words that stays", 1, "k"), (3, None, 1, "k"), (3, "", 1, "k"), (4, ITEM, 1, "k"), (4, ITEM, 1, "k"), (5, "too short", 1, "k")]
