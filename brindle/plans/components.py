@@ -1,30 +1,36 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every round is two shuffles over the edges and ends in a written table, so lineage stays short. The number of rounds
-grows with the logarithm of the component size; no vertex ever has its whole component sent to one task.
+Every round is a few shuffles over the edges and ends in a written table, so lineage stays short. The number of rounds
+grows with the logarithm of the component size. A vertex's least neighbour is found by an aggregate that combines before
+the shuffle and comes back by a join, in which adaptive execution splits a hot vertex's edges; so no vertex, however many
+edges it has, has them all sent to one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.plans.scratch import materialize
+from brindle.plans.scratch import materialize, settled
+
+
+def _with_least(e: DataFrame) -> DataFrame:
+    """Edges with ``m``, the least end of all edges of their ``u``, itself included."""
+    return e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u").withColumn("m", F.least("u", "m"))
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = F.least("u", F.min("v").over(Window.partitionBy("u")))
-    return both.withColumn("m", low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    down = down.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    down = _with_least(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     hang = down.select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v"))
     return hang.where("u != v").distinct()
 
 
+@settled
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(node, label)`` for every node of an edge; label is the least node of its component.
 
@@ -35,7 +41,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     while True:
-        e = materialize(_small_star(_large_star(e)), "edges")
+        e = materialize(_small_star(materialize(_large_star(e), "edges")), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
