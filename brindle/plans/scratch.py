@@ -136,12 +136,13 @@ def materialize_by(df: DataFrame, label: str, key: str, only: DataFrame, n_bytes
     """As ``materialize``, of the rows whose key is in ``only``, in buckets of ``key``: joins on it shuffle the other side alone.
 
     ``n_bytes``, what is about to be written, says how many buckets there are, each written by one task. ``df`` is
-    shuffled once, before the semi-join with ``only``, which then takes place within the buckets.
+    shuffled once, before the join with the keys of ``only``, which then takes place within the buckets.
     """
     spark = df.sparkSession
     n = tasks_for(spark, n_bytes)
     name = f"{label}_{uuid.uuid4().hex}"
-    laid = df.repartition(n, key).join(only.select(key).distinct(), key, "left_semi")
+    # not a semi-join, which the optimizer would move below the repartition, so that rows were shuffled for it and once more
+    laid = df.repartition(n, key).join(only.select(key).distinct(), key)
     laid.write.bucketBy(n, key).option("compression", "zstd").option("path", new_path(spark, label)).format("parquet").saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the catalog's entry only: the analysed table keeps its files and buckets
