@@ -310,10 +310,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, coordina
     made = materialize(made.select("doc_id", "node", "s.*"), "sketches")
     sets = made.where("a IS NOT NULL").groupBy("a", "b").agg(F.min("node").alias("node"), F.min("doc_id").alias("first_doc"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
     sets = materialize(sets, "sets")
-    members = sets.select("node", "n", F.explode(F.array_distinct("bands")).alias("key"))
-    buckets = members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("node", "n")).alias("y")).where("c > 1")
-    buckets = buckets.groupBy("hub", "c", "x", "y").agg(F.min("key").alias("key"))  # buckets of the same sets are one
-    met = materialize(members.join(materialize(buckets.select("key", "hub"), "buckets"), "key").where("node != hub"), "met")
+    members = sets.select("node", F.explode(F.array_distinct("bands")).alias("key"))
+    shared = members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1")
+    met = materialize(members.join(materialize(shared.select("key", "hub"), "shared"), "key").where("node != hub"), "met")
     sizes = materialize(met.select("node").union(met.select("hub")).distinct().join(sets.select("node", "n"), "node"), "sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     repeated = not made.groupBy("node").count().where("count > 1").isEmpty()
@@ -324,10 +323,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, coordina
     linked = F.col("shared") >= threshold * F.col("total")
     good = materialize(_stars(met.select("node", "hub").distinct(), sizes, texts, shingle).where(linked).select("node", "hub"), "links")
     label = components(good, "node", "hub")
-    mixed = met.join(label, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    mixed = materialize(mixed, "labelled")
-    keys = materialize(mixed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("key"), "mixed")
-    good = materialize(good.unionByName(_between(mixed.join(keys, "key", "left_semi"), texts, shingle, threshold)), "links")
+    mixed = materialize(met.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
+    h = F.xxhash64("node")
+    keys = mixed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("c"), F.sum(h.cast("decimal(38,0)")).alias("x"), F.bit_xor(h).alias("y"))
+    keys = materialize(keys.where("least != most").groupBy("c", "x", "y").agg(F.min("key").alias("key")), "mixed")  # buckets of the same sets are one
+    good = materialize(good.unionByName(_between(mixed.join(keys, "key", "left_semi").join(sizes, "node"), texts, shingle, threshold)), "links")
     label = components(good, "node", "hub")
 
     sets = sets.select("a", "b", "node", "first_doc").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
