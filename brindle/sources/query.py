@@ -121,3 +121,33 @@ def from_tsql(text: str) -> str:
     text = "".join(p if k % 2 else re.sub(r"\[((?:[^\]\[]|\]\])+)\]", lambda m: "`" + m[1].replace("]]", "]").replace("`", "``") + "`" if not m[1].isdigit() else m[0], p) for k, p in enumerate(pieces))
     found = _TOP.match(text)
     return f"SELECT {found[2].rstrip().rstrip(';')} LIMIT {found[1]}" if found else text
+
+
+_QUOTED = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|\[[^\]]*\]|--[^\n]*|/\*.*?\*/", re.S)
+
+
+def _bare(text: str) -> str:
+    """The statement with what is quoted, commented out or in parentheses blanked, place for place."""
+    plain, out, depth = _QUOTED.sub(lambda m: " " * len(m[0]), text), [], 0
+    for c in plain:
+        depth -= c == ")"
+        out.append(c if depth == 0 else " ")
+        depth += c == "("
+    return "".join(out)
+
+
+def split_with(text: str) -> tuple[str, str]:
+    """The common table expressions a statement begins with, and its rest, which may then stand in parentheses."""
+    bare = _bare(text)
+    if not re.match(r"\s*WITH\b", bare, re.I):
+        return "", text
+    main = re.search(r"\)\s*(SELECT)\b", bare, re.I)
+    return (text[: main.start(1)].strip(), text[main.start(1) :]) if main else ("", text)
+
+
+def sortable(text: str) -> str:
+    """A statement that SQL Server takes in parentheses: an ORDER BY there needs a TOP or an OFFSET."""
+    bare = _bare(text)
+    if not re.search(r"\bORDER\s+BY\b", bare, re.I) or re.match(r"\s*SELECT\s+TOP\b", bare, re.I) or re.search(r"\bOFFSET\b", bare, re.I):
+        return text
+    return text.rstrip().rstrip(";") + " OFFSET 0 ROWS"

@@ -40,12 +40,13 @@ def worker_of(key: Column, low: int, high: int, workers: int) -> Column:
     """Which of the ranges holds a key, by arithmetic; null for a null key."""
     n = len(plan_ranges(low, high, workers))
     chunk = max(1, (high - low + 1) // n) if n else 1
-    return F.least(F.floor((key - F.lit(low)) / F.lit(chunk)).cast("bigint"), F.lit(max(0, n - 1)).cast("bigint"))
+    # whole numbers throughout: doubles would move keys beyond 2 ** 53 to a neighbour
+    above = key.cast("decimal(20,0)") - F.lit(str(low)).cast("decimal(20,0)")
+    return F.when(key.isNotNull(), F.least(F.call_function("div", above, F.lit(str(chunk)).cast("decimal(20,0)")), F.lit(max(0, n - 1)).cast("bigint")))
 
 
-def predicates(key: str, ranges: list[Range], nulls: bool = True) -> list[str]:
-    """SQL conditions, one a range, for a partitioned JDBC read. Rows without a key go with the first."""
-    quoted = '"' + key.replace('"', '""') + '"'
+def predicates(quoted: str, ranges: list[Range], nulls: bool = True) -> list[str]:
+    """SQL conditions, one a range, for a partitioned JDBC read. Rows without a key go with the first. quoted: the key as the database quotes it."""
     out = [f"{quoted} >= {r.low} AND {quoted} <= {r.high}" for r in ranges]
     if nulls and out:
         out[0] = f"({out[0]}) OR {quoted} IS NULL"
@@ -53,7 +54,7 @@ def predicates(key: str, ranges: list[Range], nulls: bool = True) -> list[str]:
 
 
 def range_partitioned(table: DataFrame, key: str, workers: int) -> DataFrame:
-    """All rows of the table, one partition a range of the key, rows without a key in the first."""
+    """All rows of the table by a shuffle, one partition a range of the key, rows without a key in the first."""
     low, high = bounds(table, key)
     n = max(1, len(plan_ranges(low, high, workers)))
     return table.repartitionById(n, F.coalesce(worker_of(F.col(key), low, high, workers), F.lit(0)).cast("int")) if hasattr(table, "repartitionById") else table.repartitionByRange(n, F.col(key).asc_nulls_first())

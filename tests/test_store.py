@@ -1,10 +1,13 @@
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.metrics import LoadMetrics, SaveMetrics
 from brindle.sources import ranges
-from brindle.sources.query import Query, SparkDialect, TSqlDialect, from_tsql, qualified
-from brindle.sources.store import DataStore, Format, StoreError
+from brindle.sources import sqltypes
+from brindle.sources.query import Query, SparkDialect, TSqlDialect, from_tsql, qualified, sortable, split_with
+from brindle.sources.sqltypes import custom_schema
+from brindle.sources.store import DataStore, Format, StoreError, _again
 
 
 def test_queries_are_values():
@@ -56,7 +59,9 @@ def test_parallel_load_keeps_null_keys_and_the_query(spark, tmp_path):
     frame = spark.createDataFrame([(i, i * 2) for i in range(50)] + [(None, 7)], "k long, v long")
     store.save(frame, "t", 2)
     loaded = store.load("t", 4, "k")
-    assert loaded.count() == 51 and loaded.rdd.getNumPartitions() == 4
+    assert loaded.count() == 51 and "Exchange" not in loaded._jdf.queryExecution().toString()  # files have splits of their own
+    ranged = ranges.range_partitioned(loaded, "k", 4)
+    assert ranged.count() == 51 and ranged.rdd.getNumPartitions() == 4
     assert store.load(Query("t").select("v").where("v < 10"), 4, "k").count() == 6
 
 
@@ -76,13 +81,105 @@ def test_round_trip_of_every_form(spark, tmp_path):
 
 def test_nothing_to_save_and_wrong_width_are_errors(spark, tmp_path):
     store = DataStore(spark, str(tmp_path))
-    with pytest.raises(StoreError):
+    with pytest.raises(StoreError, match="no row"):
+        store.save(spark.createDataFrame([], "a long"), "t")
+    assert not (tmp_path / "t").exists()
+    store.save(spark.createDataFrame([(1,)], "a long"), "t")
+    before = sorted(p.name for p in (tmp_path / "t").glob("*.parquet"))
+    with pytest.raises(StoreError, match="no row"):
         store.save(spark.createDataFrame([], "a long"), "t")
+    assert sorted(p.name for p in (tmp_path / "t").glob("*.parquet")) == before and store.load("t").count() == 1
     store.save(spark.createDataFrame([(1,)], "a long"), "u")
     with pytest.raises(StoreError):
         store.save(spark.createDataFrame([(1, 2)], "a long, b long"), "u")
 
 
+def test_sql_leaves_the_sessions_views_alone(spark, tmp_path):
+    store = DataStore(spark, str(tmp_path))
+    store.save(spark.createDataFrame([(1, "store")], "k long, whose string"), "nation")
+    store.save(spark.createDataFrame([(1, 5)], "k long, v long"), "more")
+    (tmp_path / "broken.parquet").write_bytes(b"no footer")  # not named, so not looked at
+    spark.createDataFrame([(1, "user")], "k long, whose string").createOrReplaceTempView("nation")
+    spark.createDataFrame([(1, "mine")], "k long, own string").createOrReplaceTempView("side")
+    try:
+        found = store.load("WITH n AS (SELECT * FROM nation) SELECT whose, v, own FROM n JOIN more USING (k) JOIN side USING (k) WHERE k IN (SELECT k FROM `more`)")
+        assert [tuple(r) for r in found.collect()] == [("store", 5, "mine")]
+        assert [tuple(r) for r in store.load(Query.raw("SELECT whose FROM nation WHERE k = :k", k=1)).collect()] == [("store",)]
+        assert spark.table("nation").first().whose == "user" and not spark.catalog.tableExists("more")
+        assert found.sparkSession is spark and found.join(spark.table("side").select("own"), "own").count() == 1
+        with pytest.raises(StoreError, match="TABLE_OR_VIEW_NOT_FOUND"):
+            store.load("SELECT * FROM nowhere")
+    finally:
+        spark.catalog.dropTempView("nation")
+        spark.catalog.dropTempView("side")
+
+
+def test_options_of_one_database(spark, tmp_path):
+    server = "jdbc:sqlserver://h;databaseName=d"
+    assert DataStore(spark, server, table_hint="TABLOCK").options == {"useBulkCopyForBatchInsert": "true", "bulkCopyForBatchInsertTableLock": "true"}
+    assert DataStore(spark, server, packet_size=8192).options == {"packetSize": "8192"} and DataStore(spark, server + ";packetSize=1", packet_size=8192).options == {}
+    for location, more in ((str(tmp_path), {"table_hint": "TABLOCK"}), ("jdbc:derby:x", {"packet_size": 1}), (server, {"table_hint": "NOLOCK"})):
+        with pytest.raises(ValueError):
+            DataStore(spark, location, **more)
+
+
+def test_statements_in_parentheses():
+    text = "WITH a AS (SELECT ')' AS x), b AS (SELECT 1 AS y) SELECT * FROM a, b ORDER BY y -- WITH"
+    assert split_with(text) == ("WITH a AS (SELECT ')' AS x), b AS (SELECT 1 AS y)", "SELECT * FROM a, b ORDER BY y -- WITH")
+    assert split_with("SELECT 1") == ("", "SELECT 1")
+    assert sortable("SELECT a FROM t ORDER BY a;") == "SELECT a FROM t ORDER BY a OFFSET 0 ROWS"
+    for same in ("SELECT TOP 3 a FROM t ORDER BY a", "SELECT a FROM (SELECT TOP 1 a FROM t ORDER BY a) q", "SELECT 'ORDER BY' FROM t", "SELECT a FROM t ORDER BY a OFFSET 5 ROWS"):
+        assert sortable(same) == same
+
+
+def test_sql_types():
+    assert custom_schema([("a", "DECIMAL(38,4)"), ("b`c", "nvarchar(max)"), ("d", "datetimeoffset(7)")]) == "`a` decimal(38,4), `b``c` string, `d` timestamp"
+    assert sqltypes.spark_type("numeric", 40).simpleString() == "string" and sqltypes.spark_type("decimal").simpleString() == "decimal(18,0)"
+    with pytest.raises(ValueError):
+        sqltypes.spark_type("geography")
+
+
+def test_large_keys_keep_their_range(spark):
+    low, high = 2**53 + 1, 2**53 + 9
+    rows = spark.createDataFrame([(k,) for k in range(low, high + 1)] + [(None,)], "k long")
+    found = {r.k: r.w for r in rows.select("k", ranges.worker_of(F.col("k"), low, high, 3).alias("w")).collect()}
+    assert found == {None: None} | {k: r.worker for r in ranges.plan_ranges(low, high, 3) for k in range(r.low, r.high + 1)}
+    wide = spark.createDataFrame([(-(2**63),), (2**63 - 1,)], "k long").select(ranges.worker_of(F.col("k"), -(2**63), 2**63 - 1, 2).alias("w"))
+    assert [r.w for r in wide.collect()] == [0, 1]
+
+
+def test_metrics_are_measured(spark, tmp_path):
+    store = DataStore(spark, str(tmp_path), batch_size=30)
+    made = store.save(spark.range(100), "t", 2)
+    assert made["batches"] == 4 and made["connect_seconds"] > 0 and made["write_seconds"] > 0 and 0 <= made["flush_seconds"] <= made["write_seconds"]
+    arrow = DataStore(spark, str(tmp_path), "arrow", block_size=30)
+    arrow.load("t")
+    assert (arrow.last_load.rows, arrow.last_load.blocks) == (100, 4)
+
+
+def test_the_databases_own_words(spark):
+    store = DataStore(spark, "jdbc:derby:memory:words;create=true")
+    with pytest.raises(StoreError, match=r"\[42X05\]"):
+        store.load("MISSING")
+    tries = []
+
+    def once_lost():
+        tries.append(1)
+        if len(tries) == 1:
+            raise RuntimeError("Communication link failure")
+        return 7
+
+    assert _again(once_lost) == 7
+    with pytest.raises(KeyError):
+        _again(lambda: {}["x"])
+
+
+def test_column_types_of_a_database(spark):
+    store = DataStore(spark, "jdbc:derby:memory:kinds;create=true", column_types={"K": {"N": "bigint"}})
+    DataStore(spark, store.location).save(spark.createDataFrame([(3, "x")], "N int, T string"), "K")
+    assert store.load("K").schema["N"].dataType.simpleString() == "bigint"
+
+
 def test_hooks_run_in_order_and_post_not_after_failure(spark, tmp_path):
     store, seen = DataStore(spark, str(tmp_path)), []
     for name in ("pre1", "pre2"):
