@@ -1,8 +1,9 @@
 """Key-wise merging of two keyed tables, or of two map columns, by strategies.
 
 A key that both sides have is combined: ``sum`` (of text: joined), ``max``, ``min`` or ``replace`` by the right value.
-The strategy is the key's own, else that of the value's type, else the default, else ``sum`` for numbers and ``replace``
-for all else. It is the left side's configuration that counts. A key of one side only keeps its value.
+The strategy is the key's own, else that of the right value's type, else of the left one's, else the default, else ``sum``
+for numbers and ``replace`` for all else, by the right value's type. It is the left side's configuration that counts. A
+key of one side only keeps its value.
 
 Null keys match nothing and are kept as they are. A null value gives way to the other side's under every strategy.
 """
@@ -66,9 +67,12 @@ class Rules:
     def default_strategy(self) -> str:
         return self.default or "type-default"
 
-    def for_type(self, kind: T.DataType) -> str:
-        name = type_name(kind)
-        return self.type_strategy(name) or self.default or ("sum" if name in ("int", "float", "bool") else "replace")
+    def for_names(self, right: str, left: str) -> str:
+        """The strategy of two values by the names of their types."""
+        return self.type_strategy(right) or self.type_strategy(left) or self.default or ("sum" if right in ("int", "float", "bool") else "replace")
+
+    def for_types(self, right: T.DataType, left: T.DataType) -> str:
+        return self.for_names(type_name(right), type_name(left))
 
 
 def combine(left: Column, right: Column, kind: T.DataType, strategy: str) -> Column:
@@ -87,18 +91,18 @@ def combine(left: Column, right: Column, kind: T.DataType, strategy: str) -> Col
     return F.coalesce(both, right, left)
 
 
-def _merged(key: Column, left: Column, right: Column, kind: T.DataType, rules: Rules) -> Column:
-    """By key where keys have their own strategy."""
+def _merged(key: Column, left: Column, right: Column, kind: T.DataType, other_kind: T.DataType, rules: Rules) -> Column:
+    """By key where keys have their own strategy. other_kind: the right value's type."""
     chain = None
     for k, strategy in rules.by_key:
         value = combine(left, right, kind, strategy)
         chain = F.when(key == F.lit(k), value) if chain is None else chain.when(key == F.lit(k), value)
-    other = combine(left, right, kind, rules.for_type(kind))
+    other = combine(left, right, kind, rules.for_types(other_kind, kind))
     return other if chain is None else chain.otherwise(other)
 
 
-def _checked(left: T.DataType, right: T.DataType, rules: Rules) -> T.DataType:
-    """Numbers of different types are fine, other types must agree unless the right value replaces."""
+def _checked(left: T.DataType, right: T.DataType) -> T.DataType:
+    """Numbers of different types are fine, other types must agree."""
     if type(left) is not type(right) and not (isinstance(left, T.NumericType) and isinstance(right, T.NumericType)):
         raise TypeError(f"can't merge values of types {left.simpleString()} and {right.simpleString()}")
     return left
@@ -106,11 +110,12 @@ def _checked(left: T.DataType, right: T.DataType, rules: Rules) -> T.DataType:
 
 def merge(left: DataFrame, right: DataFrame, key: str = "key", value: str = "value", rules: Rules = Rules()) -> DataFrame:
     """Both tables' keys, each once, with the merged value. Keys must be unique within a side; one shuffle a side."""
-    kind = _checked(left.schema[value].dataType, right.schema[value].dataType, rules)
+    kind, other_kind = left.schema[value].dataType, right.schema[value].dataType
+    _checked(kind, other_kind)
     a = left.select(F.col(key).alias("__k"), F.col(value).alias("__l"), F.lit(True).alias("__in_l"))
     b = right.select(F.col(key).alias("__k"), F.col(value).alias("__r"), F.lit(True).alias("__in_r"))
     both = a.join(b, "__k", "full_outer")
-    joined = _merged(F.col("__k"), F.col("__l"), F.col("__r"), kind, rules)
+    joined = _merged(F.col("__k"), F.col("__l"), F.col("__r"), kind, other_kind, rules)
     alone_l, alone_r = F.col("__l"), F.col("__r")
     if isinstance(kind, T.BooleanType):  # sums of truth values are numbers, so all values of the column are
         joined, alone_l, alone_r = (c.cast("int") for c in (joined, alone_l, alone_r))
@@ -124,25 +129,49 @@ def merge_maps(left: Column | str, right: Column | str, kind: T.DataType, rules:
     nothing_of = lambda m: F.map_filter(m, lambda k, v: F.lit(False))
     found_l, found_r = F.coalesce(a, nothing_of(b)), F.coalesce(b, nothing_of(a))
     cast = "int" if isinstance(kind, T.BooleanType) else kind
-    merged = F.map_zip_with(found_l, found_r, lambda k, x, y: F.coalesce(*(c.cast(cast) for c in (_merged(k, x, y, kind, rules), x, y))))
+    merged = F.map_zip_with(found_l, found_r, lambda k, x, y: F.coalesce(*(c.cast(cast) for c in (_merged(k, x, y, kind, kind, rules), x, y))))
     return F.when(a.isNotNull() | b.isNotNull(), merged)
 
 
 def merge_in(table: DataFrame, updates: DataFrame, order: str, key: str = "key", value: str = "value", rules: Rules = Rules()) -> DataFrame:
     """Fold a series of single merges, in their order, into a table: what repeated ``merge`` of one key each gives.
 
-    Only strategies that don't depend on more than the order are folded: sums of numbers, extremes, and the last value.
+    The table's own value goes first. Text, bytes and lists are joined in order, which takes a key's values together as its
+    result does; all else is combined before the shuffle. Truth values are numbers, as in ``merge``. Values that can't be
+    added raise where a strategy adds them. Nulls are passed over. The order of updates of one key must be unique.
     """
-    kind = table.schema[value].dataType
-    both = table.select(F.lit(None).cast(updates.schema[order].dataType).alias("__o"), F.col(key).alias("__k"), F.col(value).alias("__v"))
-    both = both.unionByName(updates.select(F.col(order).alias("__o"), F.col(key).alias("__k"), F.col(value).alias("__v")))
-    last = F.max_by("__v", F.struct(F.col("__o").isNotNull(), "__o"))
-    folds = {"sum": lambda: F.sum("__v").cast(kind) if isinstance(kind, T.NumericType) else last, "max": lambda: F.max("__v"), "min": lambda: F.min("__v"), "replace": lambda: last}
+    kind, other_kind = table.schema[value].dataType, updates.schema[value].dataType
+    _checked(kind, other_kind)
+    rows = [
+        table.select(F.lit(None).cast(updates.schema[order].dataType).alias("__o"), F.col(key).alias("__k"), F.col(value).alias("__v")),
+        updates.select(F.col(order).alias("__o"), F.col(key).alias("__k"), F.col(value).cast(kind).alias("__v")),
+    ]
+    if isinstance(kind, T.BooleanType):
+        kind, rows = T.IntegerType(), [r.withColumn("__v", F.col("__v").cast("int")) for r in rows]
+    when = F.when(F.col("__v").isNotNull(), F.struct(F.col("__o").isNotNull().alias("later"), F.col("__o").alias("o")))
+
+    def fold(strategy: str) -> Column:
+        if strategy == "replace":
+            return F.max_by("__v", when)
+        if strategy != "sum":
+            return {"max": F.max, "min": F.min}[strategy]("__v")
+        if isinstance(kind, T.NumericType):
+            return F.sum("__v").cast(kind)
+        if not isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType)):
+            raise TypeError(f"values of type {kind.simpleString()} can't be added")
+        values = F.transform(F.array_sort(F.collect_list(F.when(when.isNotNull(), F.struct(when.alias("w"), F.col("__v").alias("v"))))), lambda x: x["v"])
+        if isinstance(kind, T.ArrayType):
+            return F.when(F.size(values) > 0, F.flatten(values))
+        # bytes are joined as their hexadecimal digits
+        text = values if isinstance(kind, T.StringType) else F.transform(values, F.hex)
+        joined = F.array_join(text, "")
+        return F.when(F.size(values) > 0, joined if isinstance(kind, T.StringType) else F.unhex(joined))
+
     chain = None
     for k, s in rules.by_key:
-        chain = F.when(F.first("__k") == F.lit(k), folds[s]()) if chain is None else chain.when(F.first("__k") == F.lit(k), folds[s]())
-    other = folds[rules.for_type(kind)]()
-    return both.groupBy("__k").agg((other if chain is None else chain.otherwise(other)).alias(value)).select(F.col("__k").alias(key), value)
+        chain = F.when(F.first("__k") == F.lit(k), fold(s)) if chain is None else chain.when(F.first("__k") == F.lit(k), fold(s))
+    other = fold(rules.for_types(other_kind, table.schema[value].dataType))
+    return rows[0].unionByName(rows[1]).groupBy("__k").agg((other if chain is None else chain.otherwise(other)).alias(value)).select(F.col("__k").alias(key), value)
 
 
 class MergeMap(MutableMapping):
@@ -173,9 +202,7 @@ class MergeMap(MutableMapping):
 
     def strategy(self, key, left, right) -> str:
         """By key, by the right value's type, by the left one's, by default."""
-        kinds = [type(v).__name__ for v in (right, left)]
-        found = next((s for s in (dict(self.rules.by_key).get(key), *map(self.rules.type_strategy, kinds), self.rules.default) if s), None)
-        return found or ("sum" if kinds[1] in ("int", "float", "bool") else "replace")
+        return dict(self.rules.by_key).get(key) or self.rules.for_names(type(right).__name__, type(left).__name__)
 
     def merge_in(self, key, value) -> None:
         """Merge one key's value."""
