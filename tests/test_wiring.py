@@ -135,7 +135,10 @@ def test_schemas_timers_and_contracts():
         pass
     with support.quick_profile(3, printer=said.append):
         sum(range(10))
-    assert said[0] == "t started..." and "seconds" in said[1] and len(said) == 3
+    assert said[0] == "t: begins" and said[1].startswith("t: 0.") and len(said) == 3
+    with support.quick_timer("t", printer=said.append, print_on_start=False) as so_far:
+        assert 0 <= so_far() < 5
+    assert len(said) == 4
     t, u = support.PhaseTimer(), support.PhaseTimer()
     t.start("a"), t.start("b"), t.stop()
     u.start("a"), u.stop()
@@ -147,3 +150,28 @@ def test_schemas_timers_and_contracts():
         def save(self, entity): ...
 
     assert isinstance(Repo(), support.Repository) and not isinstance(object(), support.Builder)
+    assert not isinstance(type("Half", (), {"load": lambda self: 1})(), support.Repository)
+
+    class Color:
+        __slots__ = ("red",)
+
+        def __init__(self, red):
+            self.red = red
+
+        def __eq__(self, other):
+            return isinstance(other, Color) and self.red == other.red
+
+    assert isinstance(Color(1), support.ValueObject) and Color.__hash__ is None
+    assert isinstance(type("E", (), {"id": property(lambda self: 1)})(), support.RootEntity) and not isinstance(Color(1), support.Entity)
+
+
+def test_errors_and_profiles(monkeypatch):
+    assert str(support.type_error(2, (str, None), "x")) == "x must be str or None, not int: 2" and str(support.type_error(int, str)) == "value must be str, not int"
+    assert str(support.file_error("/no/such")) == "/no/such: not found"
+    assert str(support.LibraryError("a", 2)) == "a\n2" and str(support.DispatchFailure()) == "No way to handle a value."
+    assert "'z' isn't one of a, b" == str(support.OptionError("z", "ab")) and issubclass(support.MissingTarget, FileNotFoundError) and issubclass(support.UnknownType, TypeError)
+    said, stops = [], []
+    monkeypatch.setattr("builtins.breakpoint", lambda: stops.append(1))
+    with support.quick_profile(1, printer=said.append, examine=True):
+        sorted(range(10))
+    assert len(said) == 1 and stops == [1]
