@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,6 +111,15 @@ def absolute(path: Column | str, start: str) -> Column:
     return joinpath(F.lit(start), _col(path))
 
 
+def resolve(path: Column | str) -> Column:
+    """The absolute path without ``..`` and links, as far as it exists; tasks look at the file system, which they must share."""
+
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else os.path.realpath(p) for p in column.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string").asNondeterministic()(_col(path))
+
+
 def glob_regex(pattern: str, wild: str = ".") -> str:
     """A regular expression of a pattern with ``*`` and ``?``; wild is what one wildcard character may be."""
     return r"(?s)\A" + "".join(f"{wild}*" if c == "*" else wild if c == "?" else re.escape(c) for c in pattern) + r"\z"

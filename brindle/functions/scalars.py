@@ -51,6 +51,11 @@ def needs_quotes(text: Column | str) -> Column:
     return scalar_class(text) != "string"
 
 
+def ascii_lower(text: Column | str) -> Column:
+    """A to Z in lower case; all other letters as they are."""
+    return F.translate(_col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def is_dunder(text: Column | str) -> Column:
     """``__x__``, of at least four characters."""
     t = _col(text)

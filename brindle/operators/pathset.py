@@ -9,10 +9,12 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import paths as P
+from brindle.plans.scratch import materialize
 
 
 class PathSet:
@@ -31,6 +33,36 @@ class PathSet:
         files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder)
         return cls(files.select(F.regexp_replace("path", "^file:/+", "/")))
 
+    @classmethod
+    def iterdir(cls, spark: SparkSession, folder: str) -> PathSet:
+        """What lies in a folder: files and folders, hidden ones too."""
+        return cls(_children(spark.createDataFrame([(os.fspath(folder),)], "path string")))
+
+    @classmethod
+    def glob(cls, spark: SparkSession, folder: str, pattern: str) -> PathSet:
+        """Files and folders below one by a relative pattern: ``*`` and ``?`` within a component, ``**`` for any number of folders, or, last, for all that is below.
+
+        Folders are listed level by level, those of one level by as many tasks as there are; what can't be listed is passed over. Links to folders are followed by name, not by ``**``.
+        """
+        segments = [x for x in pattern.split("/") if x]
+        if not segments or pattern.startswith("/"):
+            raise ValueError(f"the pattern must be relative and not empty, but is {pattern!r}")
+        here = spark.createDataFrame([(os.fspath(folder),)], "path string")
+        for k, segment in enumerate(segments):
+            last = k + 1 == len(segments)
+            if segment == "**":
+                below = _descendants(here)
+                here = below.select("path") if last else here.union(below.where("folder").select("path")).distinct()
+            else:
+                found = _children(here).where(P.match_segment(segment, P.name("path")))
+                here = found.select("path") if last else found.where("folder OR linked").select("path")
+        return cls(here)
+
+    @classmethod
+    def rglob(cls, spark: SparkSession, folder: str, pattern: str) -> PathSet:
+        """The pattern anywhere below a folder."""
+        return cls.glob(spark, folder, f"**/{pattern}")
+
     def __add__(self, other: PathSet) -> PathSet:
         return PathSet(self.frame.union(other.frame))
 
@@ -75,6 +107,39 @@ class PathSet:
         return read_bytes(self.frame).where("content IS NOT NULL").orderBy("path")
 
 
+def _children(folders: DataFrame) -> DataFrame:
+    """``(path, folder, linked)`` of what lies in the folders: whether it is one, and whether it is a link to one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for base in batch.column(0).to_pylist():
+                rows = []
+                try:
+                    with os.scandir(base) as entries:
+                        for e in entries:
+                            own = e.is_dir(follow_symlinks=False)
+                            rows.append((e.path, own, not own and e.is_dir()))
+                except OSError:
+                    pass
+                columns = list(zip(*rows)) if rows else [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.bool_()))], ["path", "folder", "linked"])
+
+    return folders.select("path").mapInArrow(run, "path string, folder boolean, linked boolean")
+
+
+def _descendants(folders: DataFrame) -> DataFrame:
+    """All that is below the folders, level by level; each level is written, and its folders are spread over tasks by their number."""
+    spark, levels, here = folders.sparkSession, None, folders
+    while True:
+        level = materialize(_children(here), "level")
+        levels = level if levels is None else levels.union(level)
+        here = level.where("folder").select("path")
+        n = here.count()
+        if not n:
+            return levels
+        here = here.repartition(min(n, 16 * spark.sparkContext.defaultParallelism))
+
+
 class PathQuery:
     """Paths of a set that pass a filter; nothing runs before ``eval`` or iteration."""
 

@@ -10,6 +10,7 @@ PyYAML reads YAML where it is installed; scalars are typed by the 1.2 core schem
 from __future__ import annotations
 
 import datetime
+import functools
 import json
 import math
 import os
@@ -67,28 +68,40 @@ def scalar(text: str):
     return text
 
 
-def _yaml(text: str):
-    try:
-        import yaml
-    except ImportError:
-        raise DocumentError("PyYAML isn't installed") from None
+@functools.lru_cache(maxsize=1)
+def _yaml_loader():
+    """The loader, built once in a worker: the C one where PyYAML has it."""
+    import yaml
 
-    class Loader(yaml.SafeLoader):
+    class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         yaml_implicit_resolvers: dict = {}
 
     def plain(loader, node):
-        return scalar(node.value) if node.style is None else node.value
+        return node.value if node.style else scalar(node.value)
 
     def mapping(loader, node, deep=True):
         loader.flatten_mapping(node)
         return {_key(loader.construct_object(k, deep=True)): loader.construct_object(v, deep=True) for k, v in node.value}
 
+    def other(loader, node):
+        if isinstance(node, yaml.MappingNode):
+            return mapping(loader, node)
+        return loader.construct_sequence(node, deep=True) if isinstance(node, yaml.SequenceNode) else node.value
+
     Loader.add_implicit_resolver("tag:yaml.org,2002:merge", re.compile(r"^<<$"), ["<"])
     Loader.add_constructor("tag:yaml.org,2002:str", plain)
     Loader.add_constructor("tag:yaml.org,2002:map", mapping)
-    Loader.add_constructor(None, lambda loader, node: mapping(loader, node) if isinstance(node, yaml.MappingNode) else loader.construct_sequence(node, deep=True) if isinstance(node, yaml.SequenceNode) else node.value)
+    Loader.add_constructor(None, other)
+    return Loader
+
+
+def _yaml(text: str):
     try:
-        found = list(yaml.load_all(text, Loader))
+        import yaml
+    except ImportError:
+        raise DocumentError("PyYAML isn't installed") from None
+    try:
+        found = list(yaml.load_all(text, _yaml_loader()))
     except (yaml.YAMLError, RecursionError, ValueError) as broken:
         raise DocumentError(f"broken YAML: {broken}") from None
     return None if not found else found[0] if len(found) == 1 else found
@@ -294,7 +307,12 @@ def file_facts(paths: DataFrame) -> DataFrame:
     return paths.select("path", F.arrow_udf(run, "struct<exists: boolean, is_file: boolean, is_dir: boolean, is_symlink: boolean, size: bigint>").asNondeterministic()("path").alias("f")).select("path", "f.*")
 
 
-def write_files(documents: DataFrame) -> DataFrame:
+def write_tree(documents: DataFrame) -> DataFrame:
+    """As ``write_files``, making the folders that are missing."""
+    return write_files(documents, folders=True)
+
+
+def write_files(documents: DataFrame, folders: bool = False) -> DataFrame:
     """Write ``(path, content)`` rows to their paths; ``(path, size)`` of what was written. A repeated task writes the same again."""
     from pyarrow import fs as pafs
 
@@ -302,6 +320,8 @@ def write_files(documents: DataFrame) -> DataFrame:
         out = []
         for path, content in zip(column.to_pylist(), contents.to_pylist()):
             store, inner = pafs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+            if folders:
+                store.create_dir(os.path.dirname(inner), recursive=True)
             with store.open_output_stream(inner) as file:
                 file.write(content or b"")
             out.append(len(content or b""))

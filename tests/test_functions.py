@@ -59,6 +59,26 @@ def test_path_sets(spark, tmp_path):
     assert facts[str(tmp_path)].is_dir and not facts[str(tmp_path / "no")].exists
 
 
+def test_walks_of_folders(spark, tmp_path):
+    for n in ("a.yaml", "b.yml", ".h/g.yaml", "sub/d.yaml", "sub/deep/e.yaml", "sub/_f.json"):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(n)
+    (tmp_path / "link").symlink_to(tmp_path / "sub")
+    base = pathlib.Path(tmp_path)
+    for pattern in ("*", "*.y*", "sub/*.yaml", "*/d.yaml", "**/*.yaml", "sub/**/*.yaml", "no/*", "*/"):
+        wanted = sorted(map(str, base.glob(pattern.rstrip("/"))))
+        assert list(PathSet.glob(spark, str(tmp_path), pattern)) == wanted, pattern
+    assert list(PathSet.glob(spark, str(tmp_path), "sub/**")) == sorted(str(p) for p in base.glob("sub/**/*"))
+    assert list(PathSet.rglob(spark, str(tmp_path), "e.*")) == [str(base / "sub/deep/e.yaml")]
+    assert list(PathSet.iterdir(spark, str(tmp_path))) == sorted(map(str, base.iterdir())) and not PathSet.iterdir(spark, str(tmp_path / "none"))
+    for bad in ("", "/x", "/"):
+        with pytest.raises(ValueError):
+            PathSet.glob(spark, str(tmp_path), bad)
+    rows = spark.createDataFrame([(f"{tmp_path}/link/../a.yaml",), (f"{tmp_path}/link/x",), (None,)], "p string")
+    assert [r[0] for r in rows.select(paths.resolve("p")).collect()] == [os.path.realpath(base / "a.yaml"), os.path.realpath(base / "sub/x"), None]
+    assert spark.range(1).select(scalars.ascii_lower(F.lit("AZÄıİ"))).first()[0] == "azÄıİ"
+
+
 def test_rates_over_units(spark):
     cases = [(q, d, u) for q in (0, 0.5, 1, 10, 1023, 1024, 1e6, 2**20, 3e9, 7e15) for d in (1, 3, 0.25, 7, 60, 1e3, 1e-3, 12.5) for u in ("b",)]
     rows = spark.createDataFrame([(float(q), float(d), u) for q, d, u in cases], "q double, d double, u string")
@@ -165,6 +185,45 @@ def test_merge_in_folds_in_order(spark):
     assert fold(merge.Rules.of(int="replace").set_strategy("a", "max")) == {"a": 9, "b": 5, "c": 4}
 
 
+@pytest.mark.parametrize(
+    "kind, own, more, strategy, wanted",
+    [
+        ("string", "a", ["b", None, "c"], "sum", "abc"), ("string", "a", ["b", "c"], None, "c"), ("string", "m", ["z", "b"], "max", "z"), ("boolean", True, [True, False], None, 2), ("boolean", True, [], None, 1),
+        ("boolean", True, [False], "min", 0), ("array<int>", [1], [[3], [2]], "sum", [1, 3, 2]), ("binary", bytearray(b"\x00a"), [bytearray(b"\xff")], "sum", bytearray(b"\x00a\xff")), ("int", 1, [None, 5, None], "replace", 5), ("string", None, [], "sum", None),
+    ],
+)
+def test_merge_in_is_merge_again_and_again(spark, kind, own, more, strategy, wanted):
+    rules = merge.Rules(default=strategy or "")
+    table = spark.createDataFrame([("k", own)], f"key string, value {kind}")
+    updates = spark.createDataFrame([(i, "k", v) for i, v in enumerate(more)][::-1], f"o int, key string, value {kind}")
+    (found,) = merge.merge_in(table, updates, "o", rules=rules).collect()
+    assert found.value == wanted
+    if kind != "boolean":  # there the first step makes numbers of the column
+        for v in more:
+            table = merge.merge(table, spark.createDataFrame([("k", v)], f"key string, value {kind}"), rules=rules)
+        assert table.first().value == wanted
+
+
+def test_what_cannot_be_added_or_merged(spark):
+    days = spark.sql("SELECT 'k' AS key, DATE '2020-01-01' AS value, 1 AS o")
+    for rules, fails in ((merge.Rules.of(date="sum"), True), (merge.Rules(), False)):
+        if fails:
+            with pytest.raises(TypeError):
+                merge.merge_in(days.drop("o"), days, "o", rules=rules)
+        else:
+            assert merge.merge_in(days.drop("o"), days, "o", rules=rules).count() == 1
+    with pytest.raises(TypeError):
+        merge.merge_in(days.drop("o"), days.withColumn("value", F.lit("x")), "o")
+
+
+def test_the_right_values_type_goes_first(spark):
+    left, right = spark.createDataFrame([("k", 5)], "key string, value int"), spark.createDataFrame([("k", 3.5)], "key string, value double")
+    assert merge.merge(left, right, rules=merge.Rules.of(int="max", float="min")).first().value == 3.5
+    assert merge.merge(left, right, rules=merge.Rules.of(int="max")).first().value == 5.0
+    with pytest.raises(TypeError):
+        merge.MergeMap({"k": "x"}, str="sum") | {"k": 1}
+
+
 def test_strict_registration(spark):
     table, rows = spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(2, "b")], "k int, v string")
     assert sorted(map(tuple, keyed.register(table, rows, ["k"]).collect())) == [(1, "a"), (2, "b")]
