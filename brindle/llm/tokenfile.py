@@ -39,7 +39,7 @@ def _encoder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, at = batch.schema.names[:-1], 0
-            for part in bw.row_slices(batch.column(batch.num_columns - 1), tokens.BATCH):
+            for part in bw.row_slices(batch.column(batch.num_columns - 1), tokens.SLICE):
                 ids, bounds = tokens.encode(part, shared.value)
                 none = part.is_null()
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=none)

@@ -67,8 +67,18 @@ def test_token_table_refuses_and_takes_empty(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "x")).count() == 0
 
 
-def test_batches_by_bytes(own):
-    from brindle.llm import bytewords as bw
-
-    texts = pa.array(["x" * n for n in (10, 900, 5, 2000, 3, 3)])
-    assert [len(p) for p in bw.row_slices(texts, 1000)] == [3, 1, 2]
+def test_batches_are_balanced_by_bytes(own, prose):
+    random.seed(7)
+    texts = [prose(random.choice((1, 5, 60, 900))) for _ in range(300)] + [None, "", "é" * 900, "z " * 9000]
+    runs = list(T.batches(texts, 4000))
+    assert [(r, p) for run in runs for r, p in run] == [(r, p) for r, t in enumerate(texts) for p in (T.safe_pieces(t) if t else [])]
+    size = [sum(len(p.encode()) for _, p in run) for run in runs]
+    assert all(n <= 4000 or len(run) == 1 for n, run in zip(size, runs)) and all(a + b > 4000 for a, b in zip(size, size[1:]))
+    assert max(map(len, runs)) > 10
+
+
+def test_a_batch_counts_each_text_by_itself(own):
+    for texts in (EDGES, EDGES[::-1], [*EDGES, f"a {T.BREAK} b", T.BREAK], ["end ", " begin", "", "it", "'s", "  ", "  "]):
+        ids, many = T._encoded(own, texts)
+        each = [own.encode_ordinary(t) for t in texts]
+        assert many.tolist() == [len(x) for x in each] and ids.tolist() == [t for x in each for t in x]
