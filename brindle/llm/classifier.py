@@ -34,6 +34,8 @@ from brindle.plans.scratch import materialize
 
 #: The training sample's bounds; scoring and everything else covers all rows.
 TRAIN_DOCS, TRAIN_BYTES = 12_000, 36_000_000
+#: Bytes that are looked at together; longer texts are cut at a blank.
+PIECE = 1 << 20
 BUCKET_BITS, DIMENSIONS, GRAMS = 17, 16, (3, 4, 5)
 EPOCHS, RATE, SEED = 6, 4.0, 20240229
 MIN_QUALITY, MAX_TOXIC = 0.5, 0.5
@@ -44,7 +46,9 @@ SCORE_TYPE = "struct<p_quality: double, p_toxic: double>"
 def features(texts: pa.Array, bits: int = BUCKET_BITS, grams: tuple[int, ...] = GRAMS):
     """For runs of rows: (bucket of each token or n-gram, its row). A row may be spread over several runs."""
     data, off = bw.utf8(texts)
-    for a, b, inner, rows in bw.pieces(data, off, 1 << 20):
+    for a, b, inner, rows in bw.pieces(data, off, PIECE):
+        if b < off[rows[-1] + 1]:  # a row is cut at this blank, with which n-grams on both sides may end or begin
+            b, inner = b + 1, inner + [0, 1]
         raw = data[a:b]
         n = len(raw)
         if not n:
