@@ -16,14 +16,19 @@ few enough to broadcast (PREFILTER_HASHES, checked); the rest of the windows nev
 all windows go into the join. The join, the consistency check and the count of matched windows are built-in operators.
 
 A document leaks an item if at least half of the item's windows, or MANY of them, are matched consistently; MANY
-neighbouring windows are thirteen template words in a row. An item shorter than WINDOW is one window of its whole length, and must have MIN_WORDS.
-Both count words as they are in the third kind.
+neighbouring windows are thirteen template words in a row. An item shorter than WINDOW is one window of its whole length.
+Words count as they are in the third kind.
+
+What is given up, by definition of a template: an item of fewer than MIN_WORDS template words, which any text may hold by
+chance, is only found where a document is that item and nothing else; and an item that has more slots than other words
+is found word for word, but not with other numbers and names in it, for its frame says next to nothing.
 
 Defined results
   null or empty text          no leak, kept
   null doc_id                 reported with a null, dropped by ``decontaminate``
   repeated rows               each is reported, once for every item; one doc_id with several texts has their union
-  null, empty or short items  fewer than MIN_WORDS words match nothing
+  null or empty items         match nothing
+  short items                 fewer than MIN_WORDS words match the documents that have just these words
   repeated items              reported under each item_id
   no document, no benchmark   no leak
   extra or clashing columns   carried along untouched by ``decontaminate``
@@ -52,7 +57,7 @@ STOP = (
     "der die das und den von zu mit ist nicht ein eine auf im le la les de des du et en un une est que qui dans pour sur el los las y del se por con para al"
 ).split()
 NUMBER, UNIT, NAME = 1, 2, 3
-EXACT = 2
+EXACT, ALONE = 2, 3
 WINDOW_TYPE = "array<struct<hash: bigint, pos: int, kind: int, slots: array<bigint>, spots: array<int>>>"
 _SLOT_HASH = bw.mix(np.arange(4, dtype=np.uint64) + np.uint64(0x5107))
 
@@ -148,6 +153,14 @@ def windows(texts: pa.Array, size: int, whole: bool, known: np.ndarray | None, s
             if known is not None:
                 at = at[_in(total[at], known)]
             yield kind, s, total[at], row[at], at - ptr[row[at]], at, slot, value
+        for s in range(1, MIN_WORDS) if kind == EXACT else ():  # texts of few words, as a whole
+            at = ptr[:-1][n == s]
+            total = np.full(len(at), ALONE * 64 + s, np.uint64)
+            for k in range(s):
+                total = total * np.uint64(0x100000001B3) + h[at + k]
+            total = bw.mix(total)
+            kept = np.flatnonzero(_in(total, known)) if known is not None else np.arange(len(at))
+            yield ALONE, s, total[kept], row[at[kept]], np.zeros(len(kept), np.int64), at[kept], slot, value
 
 
 def _lists(texts: pa.Array, size: int, whole: bool, known, sizes) -> pa.Array:

@@ -66,14 +66,23 @@ def test_one_changed_value_hides_no_leak(spark):
     assert _found(spark, ["Peter has 17 apples and gives them to Anna after 17 days. How often did Peter then see the 19 apples?"], [item]) == {(0, 0)}
 
 
+def test_long_copies_with_changed_values(spark):
+    """56 words copied word for word but for one of two equal numbers: the windows without it still count."""
+    words = [f"{a}{b}" for a in ("stone", "river", "cloud", "field", "glass", "horse", "paper") for b in ("ly", "er", "ish", "en", "ful", "ness", "ward", "ment")]
+    item = " ".join([*words[:20], "12", *words[20:40], "12", *words[40:]])
+    docs = [item, item.replace("12", "13", 1), item.replace("stoneer", "nothing"), " ".join(words[::-1])]
+    assert _found(spark, docs, [item]) == {(0, 0), (1, 0), (2, 0)}
+
+
 def test_short_items_and_defined_results(spark):
     items = spark.createDataFrame([(1, "red blue green white black"), (2, "too short"), (3, None), (4, ""), (5, "red blue green white black"), (6, ITEM)], "item_id long, text string")
-    rows = [(1, "see red blue green white black here", 1, "k"), (1, ITEM, 1, "k"), (None, ITEM, 1, "k"), (2, "clean text of some words that stays", 1, "k"), (3, None, 1, "k"), (3, "", 1, "k"), (4, ITEM, 1, "k"), (4, ITEM, 1, "k"), (5, "too short", 1, "k")]
+    rows = [(1, "see red blue green white black here", 1, "k"), (1, ITEM, 1, "k"), (None, ITEM, 1, "k"), (2, "clean text of some words that stays", 1, "k"), (3, None, 1, "k"), (3, "", 1, "k"), (4, ITEM, 1, "k"), (4, ITEM, 1, "k"), (5, "Too short!", 1, "k"), (6, "it is too short", 1, "k"), (7, "too", 1, "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int, key string")
     found = {(r.doc_id, r.item_id) for r in D.leaks(docs, items).collect()}
-    assert found == {(1, 1), (1, 5), (1, 6), (None, 6), (4, 6)}
+    assert found == {(1, 1), (1, 5), (1, 6), (None, 6), (4, 6), (5, 2)}
+    assert found == {(r.doc_id, r.item_id) for r in D.leaks(docs, items, prefilter=0).collect()}
     kept = D.decontaminate(docs, items)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 3, 5]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 3, 6, 7]
     assert D.leaks(docs.limit(0), items).count() == 0 and D.leaks(docs, items.limit(0)).count() == 0
     assert D.decontaminate(docs, items.limit(0)).count() == len(rows)
 
