@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from brindle.llm import archive, classifier, decontam, extraction, neardup, packing, rules, sharding, tokenfile, tokens
 from brindle.plans.scratch import new_path
 
+SMALL_SHARD = 64 << 10
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,13 +42,21 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that duplicates a kept one, and the one that is kept."""
+    """The near-duplicate class of every document, and its number of links."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shard of every document."""
-    return sharding.assign(_table(spark, sf_dir, "documents"))
+    """The shard of every document, as read from the written shards."""
+    docs, path = _table(spark, sf_dir, "documents"), new_path(spark, "shards")
+    sharding.write_shards(docs, path)
+    made = sharding.read_shards(spark, path, docs.schema)
+    return made.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "shard", "depth")
+
+
+def sharding_small_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of so few bytes that buckets split at every size of the tables."""
+    return sharding.assign(_table(spark, sf_dir, "documents"), limit=SMALL_SHARD)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +82,8 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_quality_classifier, op2_best_fit_packing, op3_token_id_output, op4_benchmark_decontamination, op5_minhash_near_dedup, op6_sharding, op7_quality_rules, op8_token_counts, op9_archive_reader, op10_html_extraction)
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in (*own, sharding_small_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": sharding.sql(), "op7_quality_rules": rules.sql(), "op9_archive_reader": "SELECT page_id, url, html FROM pages"}
+    return {"op6_sharding": sharding.sql(), "sharding_small_shards": sharding.sql(limit=SMALL_SHARD), "op7_quality_rules": rules.sql(), "op9_archive_reader": "SELECT page_id, url, html FROM pages"}

@@ -5,13 +5,14 @@ limit splits on its next hash bit, others stay as they are, until every shard fi
 adding rows only ever splits the buckets that overflow.
 
 Splitting goes in rounds of STEP bits: one pass sums bytes by the next STEP bits within the buckets that are still too
-large, and every such bucket's subtree, at most 2**STEP sums, is settled in a task of its own. Texts don't move; the
-directory comes back to the documents by a join on the prefix of the depth reached in each round, which is broadcast
-where it is small. A hash is the first 15 hex digits of an MD5 of doc_id, so that any SQL engine agrees on it.
+large, and every such bucket's subtree, at most 2**STEP sums, is settled in a task of its own. Texts don't move until
+they are written; the directory comes back to the documents by one join for each depth that a shard has, on the prefix of
+that depth, broadcast where it is small. Shards of like-sized documents have two or three depths. A hash is the first
+15 hex digits of an MD5 of doc_id, so that any SQL engine agrees on it.
 
 Defined results
   null text                  0 bytes; the row has a shard like any other
-  null doc_id                hashed like an empty string; such rows share a shard
+  null doc_id                hashed by the text instead, so that such rows spread like others; null texts among them like an empty string
   repeated doc_ids           always share a shard
   a shard that can't split   one hash with more than the limit: it stays whole, at depth MAX_BITS
   no document                no row, an empty directory
@@ -22,18 +23,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from brindle.plans.scratch import materialize
+from brindle.plans.scratch import materialize, scope, tasks_for
 
 SHARD_BYTES, STEP, MAX_BITS = 64 << 20, 10, 60
 DIRECTORY_TYPE = "prefix bigint, depth int, bytes bigint, rows bigint, open boolean"
 
 
-def hash_bits(key: Column) -> Column:
-    """MAX_BITS bits of hash."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+def hash_bits(key: Column, text: Column) -> Column:
+    """MAX_BITS bits of hash; the text's where there is no key."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), text.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
 def _prefix(bits: Column, depth: int) -> Column:
@@ -80,45 +82,51 @@ def directory(sizes: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     return leaves
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, *columns: Column) -> DataFrame:
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(*columns, F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("bytes"), hash_bits(F.col(f"`{id_col}`"), text).alias("bits"))
+
+
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, limit: int = SHARD_BYTES) -> DataFrame:
     """``(doc_id, n_bytes, shard, depth)`` of every row; ``shard`` is the bucket's prefix as an integer of ``depth`` bits."""
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("bigint").alias("bytes"))
-    sizes = materialize(sizes.withColumn("bits", hash_bits(F.col("doc_id"))), "sizes")
+    sizes = materialize(_sized(docs, id_col, text_col, F.col(id_col).alias("doc_id")), "sizes")
     return placed(sizes, directory(sizes, limit)).select("doc_id", F.col("bytes").alias("n_bytes"), "shard", "depth")
 
 
 def placed(rows: DataFrame, shards: DataFrame) -> DataFrame:
-    """Rows with ``bits`` and the ``shard`` and ``depth`` that hold them.
-
-    Every shard is spread over the cells of the round in which it was settled, so that each round is one equi-join.
-    """
-    spread = F.explode(F.expr("sequence(shiftleft(prefix, grown - depth), shiftleft(prefix + 1, grown - depth) - 1)"))
-    grown = F.least(F.greatest(F.ceil(F.col("depth") / STEP), F.lit(1)) * STEP, F.lit(MAX_BITS)).cast("int")
-    cells = shards.withColumn("grown", grown).select("grown", spread.alias("cell"), F.col("prefix").alias("shard"), "depth")
-    cells = materialize(cells, "cells")
-    depths = sorted(r[0] for r in cells.select("grown").distinct().collect())
+    """Rows with ``bits`` and the ``shard`` and ``depth`` that hold them: an equi-join for each depth there is."""
+    shards = materialize(shards.select("prefix", "depth"), "shards")
     out = rows
+    depths = sorted(r[0] for r in shards.select("depth").distinct().collect())
     for d in depths:
-        own = cells.where(F.col("grown") == d).select(F.col("cell").alias(f"__cell{d}"), F.struct("shard", "depth").alias(f"__in{d}"))
-        out = out.join(own, _prefix(F.col("bits"), d) == F.col(f"__cell{d}"), "left").drop(f"__cell{d}")
-    if not depths:
-        return rows.select("*", F.lit(None).cast("bigint").alias("shard"), F.lit(None).cast("int").alias("depth")).where("false")
-    return out.withColumn("__in", F.coalesce(*(F.col(f"__in{d}") for d in depths))).select(*rows.columns, "__in.shard", "__in.depth")
+        own = shards.where(F.col("depth") == d).select(F.col("prefix").alias(f"__prefix{d}"))
+        out = out.join(own, _prefix(F.col("bits"), d) == F.col(f"__prefix{d}"), "left")
+    which = F.coalesce(*(F.when(F.col(f"__prefix{d}").isNotNull(), F.struct(F.col(f"__prefix{d}").alias("shard"), F.lit(d).alias("depth"))) for d in depths)) if depths else F.lit(None).cast("struct<shard: bigint, depth: int>")
+    return out.select(*rows.columns, which.alias("__in")).select(*rows.columns, "__in.shard", "__in.depth")
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, limit: int = SHARD_BYTES) -> None:
-    """Write the documents, one folder a shard, each written by one task; columns unchanged but for the folder's key."""
-    sizes = docs.select(hash_bits(F.col(id_col)).alias("bits"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("bigint").alias("bytes"))
-    shards = directory(materialize(sizes, "sizes"), limit)
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), hash_bits(F.col(id_col)).alias("bits"))
-    out = placed(row, shards).withColumn("__shard", F.concat_ws("-", "depth", "shard")).repartition("__shard")
-    out.select("__row.*", "__shard").write.partitionBy("__shard").option("compression", "zstd").parquet(path)
+    """Write the documents, one folder ``__shard=depth-shard`` a shard, each written by one task; columns unchanged but for the folder's key."""
+    with scope(docs.sparkSession):
+        sizes = materialize(_sized(docs, id_col, text_col), "sizes")
+        shards = materialize(directory(sizes, limit), "directory")
+        tasks = tasks_for(docs.sparkSession, shards.agg(F.sum("bytes")).first()[0] or 0)
+        row = _sized(docs, id_col, text_col, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+        out = placed(row, shards).withColumn("__shard", F.concat_ws("-", "depth", "shard")).repartition(tasks, "__shard")
+        out.select("__row.*", "__shard").write.partitionBy("__shard").option("compression", "zstd").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, columns: T.StructType) -> DataFrame:
+    """The written documents, of the columns they were written with, and the ``shard`` and ``depth`` that their folder names."""
+    found = spark.read.schema(T.StructType([*columns.fields, T.StructField("__shard", T.StringType())])).parquet(path)
+    part = lambda k: F.split_part("__shard", F.lit("-"), F.lit(k))
+    return found.select(*(F.col(f"`{c}`") for c in columns.names), part(2).cast("bigint").alias("shard"), part(1).cast("int").alias("depth"))
 
 
 def sql(table: str = "documents", limit: int = SHARD_BYTES) -> str:
     """``assign`` in DuckDB's SQL: a row's depth is the least one at which its prefix fits."""
     return f"""
-WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS bits FROM {table}),
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 15))::BIGINT AS bits FROM {table}),
 p AS (SELECT depth, bits >> ({MAX_BITS} - depth) AS prefix, sum(n_bytes) AS total FROM d, range(0, {MAX_BITS + 1}) r(depth) GROUP BY ALL),
 f AS (SELECT d.bits, min(p.depth) AS depth FROM (SELECT DISTINCT bits FROM d) d, p WHERE p.prefix = d.bits >> ({MAX_BITS} - p.depth) AND (p.total <= {limit} OR p.depth = {MAX_BITS}) GROUP BY ALL)
 SELECT doc_id, n_bytes, (d.bits >> ({MAX_BITS} - depth)::INT)::BIGINT AS shard, depth::INTEGER AS depth FROM d JOIN f USING (bits)"""

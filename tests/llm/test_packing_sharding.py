@@ -109,10 +109,32 @@ def test_shards_equal_their_sql(shard_docs, limit):
     assert all(n <= limit or depth == S.MAX_BITS for (_, depth), n in size.items())
 
 
+def test_rows_without_an_id_spread(spark):
+    docs = spark.createDataFrame([(None, f"text {i}") for i in range(400)] + [(None, None), (None, "")], "doc_id long, text string")
+    found = S.assign(docs, limit=300).collect()
+    size = Counter()
+    for r in found:
+        size[r.shard, r.depth] += r.n_bytes
+    assert len(found) == 402 and max(size.values()) <= 300 and len(size) > 10
+
+
+def test_queries_split_the_tables(spark):
+    from brindle.llm import queries as Q
+
+    found = Q.sharding_small_shards(spark, "/root/testdata/sf0.01").select("shard", "depth").distinct().collect()
+    assert len(found) > 20 and len({r.depth for r in found}) >= 3
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    assert sorted(map(tuple, Q.op6_sharding(spark, "/root/testdata/sf0.01").collect())) == sorted(con.execute(Q.oracle_sql()["op6_sharding"]).fetchall())
+
+
 def test_written_shards_and_empty_tables(spark, shard_docs, tmp_path):
-    docs, _ = shard_docs
+    docs, con = shard_docs
     S.write_shards(docs, str(tmp_path / "s"), limit=20_000)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.drop("__shard").exceptAll(docs).count() == 0 and docs.exceptAll(back.drop("__shard")).count() == 0
     assert back.select("__shard", F.input_file_name().alias("f")).groupBy("__shard").agg(F.count_distinct("f").alias("n")).where("n > 1").count() == 0
-    assert S.assign(docs.limit(0)).count() == 0
+    placed = S.read_shards(spark, str(tmp_path / "s"), docs.select(F.col("doc_id"), F.col("text")).schema).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), "shard", "depth")
+    assert sorted(map(tuple, placed.collect()), key=str) == sorted(con.execute(S.sql(limit=20_000)).fetchall(), key=str)
+    S.write_shards(docs.limit(0), str(tmp_path / "e"))
+    assert S.assign(docs.limit(0)).count() == 0 and S.read_shards(spark, str(tmp_path / "e"), docs.schema).count() == 0
