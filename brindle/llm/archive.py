@@ -5,11 +5,14 @@ that give each record's offset and length. The reader looks at a package's end f
 or its ZIP64 form, finds the members' data by their local headers, reads the indexes, and makes byte ranges of
 neighbouring records. The ranges, rows of a few numbers, are spread over the cluster; each is one read of the file.
 
-A package's directory is read by one task, its records by as many as their bytes ask for.
+A package's directory is read by one task, packages by as many as there are; records by as many as their bytes ask for.
+Bytes of a member that no index line names, or a whole member, are one range, read on from its start a chunk at a time.
 
 Defined results
-  member without an index      read whole, record by record
-  index entry of no member     an error, like any damage; with ``errors="skip"`` the package or range gives no rows
+  records that no index names  read all the same, record by record
+  members of the same name     told apart by their path; an index line that names neither path nor a single member is an error
+  index entry of no member     an error, like any damage; with ``errors="skip"`` the package gives no rows
+  damaged record               an error; with ``errors="skip"`` no row, and in a range without an index none of what follows it there
   deflated archive member      an error: it can't be read by ranges
   index that is deflated       inflated, and a gzipped one too
   no package, no record        no row; a file of no bytes is no package
@@ -38,7 +41,9 @@ from pyspark.sql import functions as F
 
 from brindle.plans.scratch import materialize
 
-RANGE_BYTES, TASK_BYTES = 4 << 20, 16 << 20
+RANGE_BYTES, TASK_BYTES, CHUNK = 4 << 20, 16 << 20, 1 << 20
+#: Tasks for each core, at most, that read directories.
+DIRECTORY_TASKS = 16
 RANGE_TYPE = "path string, start bigint, length bigint, offsets array<bigint>, lengths array<bigint>"
 RECORD_TYPE = "path string, offset bigint, type string, uri string, record_id string, date string, status int, truncated boolean, payload binary"
 _DATE = "2024-01-01T00:00:00Z"
@@ -132,7 +137,7 @@ def _index_lines(file, member: Member) -> Iterator[tuple[str, int, int]]:
 def ranges(file, size: int, most: int = RANGE_BYTES) -> Iterator[tuple[int, int, list[int], list[int]]]:
     """(start, length, record starts, record lengths) in the package's file; neighbours share a range. An empty list of records: read all."""
     members = directory(file, size)
-    archives = {m.name.rsplit("/", 1)[-1]: m for m in members if m.name.startswith("archive/") and m.name.endswith((".warc", ".warc.gz"))}
+    archives = {m.name: m for m in members if m.name.startswith("archive/") and m.name.endswith((".warc", ".warc.gz"))}
     for m in archives.values():
         if m.method:
             raise ValueError(f"{m.name} is compressed within the package and can't be read by ranges")
@@ -140,23 +145,31 @@ def ranges(file, size: int, most: int = RANGE_BYTES) -> Iterator[tuple[int, int,
     for m in members:
         if m.name.startswith("indexes/") and ".cdx" in m.name:
             for name, offset, length in _index_lines(file, m):
-                found.setdefault(name.rsplit("/", 1)[-1], set()).add((offset, length))
-    for name, records in found.items():
-        if name not in archives:
-            raise ValueError(f"the index names {name}, which the package lacks")
-        base, run = data_start(file, archives[name]), []
-        for offset, length in sorted(records):
-            if offset + length > archives[name].packed:
+                found.setdefault(_named(name, archives), set()).add((offset, length))
+    for name, m in archives.items():
+        base, run, end = data_start(file, m), [], 0
+        for offset, length in [*sorted(found.get(name, ())), (m.packed, 0)]:
+            if offset + length > m.packed:
                 raise ValueError(f"the index goes beyond the end of {name}")
-            if run and offset + length - run[0][0] > most:
+            if run and (offset > end or not length or offset + length - run[0][0] > most):
                 yield _range(base, run)
                 run = []
-            run.append((offset, length))
-        if run:
-            yield _range(base, run)
-    for name, m in archives.items():
-        if name not in found and m.packed:
-            yield data_start(file, m), m.packed, [], []
+            if offset > end:  # what the index leaves out
+                yield base + end, offset - end, [], []
+            if length:
+                run.append((offset, length))
+            end = max(end, offset + length)
+
+
+def _named(name: str, archives: dict[str, Member]) -> str:
+    """The member that an index line means: by its path, with or without the folder, or by its name where one member alone has it."""
+    for path in (name, f"archive/{name}"):
+        if path in archives:
+            return path
+    same = [path for path in archives if path.rsplit("/", 1)[-1] == name.rsplit("/", 1)[-1]]
+    if len(same) != 1:
+        raise ValueError(f"the index names {name}, of which the package has {len(same)}")
+    return same[0]
 
 
 def _range(base: int, run: list[tuple[int, int]]):
@@ -164,26 +177,48 @@ def _range(base: int, run: list[tuple[int, int]]):
     return base + start, max(o + n for o, n in run) - start, [base + o for o, _ in run], [n for _, n in run]
 
 
-def _all_records(raw: bytes, start: int) -> Iterator[tuple[int, bytes]]:
-    """Records of a whole member: gzipped ones, or plain ones one after the other."""
-    at = 0
-    while at < len(raw):
-        if raw[at : at + 2] == b"\x1f\x8b":
-            unpack = zlib.decompressobj(31)
-            record = unpack.decompress(memoryview(raw)[at:])
-            if not unpack.eof:
-                raise ValueError("a record is cut off")
-            yield start + at, record
-            at = len(raw) - len(unpack.unused_data)
+def _all_records(file, start: int, length: int, chunk: int = CHUNK) -> Iterator[tuple[int, bytes]]:
+    """(start, record) of all records of a range, gzipped ones or plain ones one after the other; a chunk and a record are held at a time."""
+    held, at, left = b"", start, length
+    file.seek(start)
+
+    def more() -> bytes:
+        nonlocal left
+        found = file.read(min(left, chunk))
+        if not found:
+            raise ValueError("a record is cut off")
+        left -= len(found)
+        return found
+
+    while held or left:
+        held = held or more()
+        if held[:1] in b"\r\n":  # lines between records
+            blank = len(held) - len(held.lstrip(b"\r\n"))
+            held, at = held[blank:], at + blank
+            continue
+        if len(held) < 2 and left:
+            held += more()
+        if held[:2] == b"\x1f\x8b":
+            unpack, parts, taken = zlib.decompressobj(31), [], 0
+            while True:
+                parts.append(unpack.decompress(held))
+                taken += len(held)
+                if unpack.eof:
+                    break
+                held = more()
+            held = unpack.unused_data
+            yield at, b"".join(parts)
+            at += taken - len(held)
         else:
-            head = raw.find(b"\r\n\r\n", at)
-            if head < 0:
-                raise ValueError("a record without an end of its headers")
-            stop = head + 4 + int(_headers(raw[at:head]).get("content-length", 0))
-            yield start + at, raw[at:stop]
-            at = stop
-            while raw[at : at + 2] == b"\r\n":
-                at += 2
+            parts = bytearray(held)
+            while (head := parts.find(b"\r\n\r\n")) < 0:
+                parts += more()
+            stop = head + 4 + int(_headers(bytes(parts[:head])).get("content-length", 0))
+            while len(parts) < stop:
+                parts += more()
+            held = bytes(parts[stop:])
+            yield at, bytes(parts[:stop])
+            at += stop
 
 
 def _headers(head: bytes) -> dict[str, str]:
@@ -228,28 +263,53 @@ def read_ranges(packages: DataFrame, *, errors: str = "raise") -> DataFrame:
                     if errors != "skip":
                         raise
 
-    return packages.select("path").where("path IS NOT NULL").distinct().mapInArrow(run, RANGE_TYPE)
+    paths = materialize(packages.select("path").where("path IS NOT NULL").distinct(), "paths")
+    # by their number: paths are so short that by bytes one task would read all directories
+    tasks = max(1, min(paths.count(), DIRECTORY_TASKS * packages.sparkSession.sparkContext.defaultParallelism))
+    return paths.repartition(tasks).mapInArrow(run, RANGE_TYPE)
+
+
+def _unpacked(record: bytes) -> bytes:
+    return gzip.decompress(record) if record[:2] == b"\x1f\x8b" else record
+
+
+_DAMAGE = (ValueError, EOFError, zlib.error, OSError)
 
 
 def read_records(spans: DataFrame, *, errors: str = "raise") -> DataFrame:
-    """The records of byte ranges, each range one read."""
+    """The records of byte ranges, each range of listed records one read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                try:
-                    store, inner = open_store(r["path"])
-                    with store.open_input_file(inner) as file:
-                        raw = _at(file, r["start"], r["length"])
-                    if r["offsets"]:
-                        found = ((o, raw[o - r["start"] : o - r["start"] + n]) for o, n in zip(r["offsets"], r["lengths"]))
-                        found = ((o, gzip.decompress(x) if x[:2] == b"\x1f\x8b" else x) for o, x in found)
-                    else:
-                        found = _all_records(raw, r["start"])
-                    yield _table([(r["path"], o, *parse(x)) for o, x in found], _RECORDS)
-                except (ValueError, EOFError, zlib.error, OSError):
-                    if errors != "skip":
-                        raise
+                rows, size = [], 0
+                for row in records(r):
+                    rows.append(row)
+                    size += len(row[-1])
+                    if size > RANGE_BYTES:
+                        yield _table(rows, _RECORDS)
+                        rows, size = [], 0
+                yield _table(rows, _RECORDS)
+
+    def records(r: dict) -> Iterator[tuple]:
+        try:
+            store, inner = open_store(r["path"])
+            with store.open_input_file(inner) as file:
+                if not r["offsets"]:
+                    for start, record in _all_records(file, r["start"], r["length"]):
+                        yield r["path"], start, *parse(record)
+                    return
+                raw = _at(file, r["start"], r["length"])
+        except _DAMAGE:
+            if errors != "skip":
+                raise
+            return
+        for start, length in zip(r["offsets"], r["lengths"]):
+            try:
+                yield r["path"], start, *parse(_unpacked(raw[start - r["start"] : start - r["start"] + length]))
+            except _DAMAGE:
+                if errors != "skip":
+                    raise
 
     return spans.mapInArrow(run, RECORD_TYPE)
 

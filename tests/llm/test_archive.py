@@ -87,6 +87,59 @@ def test_members_without_an_index_are_read_whole(spark, tmp_path):
     assert _read(spark, tmp_path, data).count() == 5
 
 
+@pytest.mark.parametrize("listed", [[1], [0, 2], [3], [0, 1, 2, 3]])
+def test_records_that_no_index_names_are_read(spark, tmp_path, listed):
+    raw, index = _records(4)
+    lines = b"\n".join(line for i, line in enumerate(index.splitlines()) if i in listed)
+    plain = b"".join(gzip.decompress(A.record(f"http://y.example/{i}", "h" * 9, None)) for i in range(3))
+    data = _package([("archive/d.warc.gz", raw, zipfile.ZIP_STORED), ("archive/e.warc", plain, zipfile.ZIP_STORED), ("indexes/i.cdxj", lines, zipfile.ZIP_STORED)])
+    assert sorted(r.uri for r in _read(spark, tmp_path, data).collect()) == [f"http://x.example/{i}" for i in range(4)] + [f"http://y.example/{i}" for i in range(3)]
+
+
+def test_members_of_one_name_are_told_apart(spark, tmp_path):
+    raw = {f: A.record(f"http://{f}.example/", f"<p>{f}</p>", None) for f in "ab"}
+    line = lambda f, name: f"x 2024 " + json.dumps({"offset": 0, "length": len(raw[f]), "filename": name})
+    members = [(f"archive/{f}/data.warc.gz", raw[f], zipfile.ZIP_STORED) for f in "ab"]
+    good = _package([*members, ("indexes/i.cdxj", "\n".join([line("a", "a/data.warc.gz"), line("b", "archive/b/data.warc.gz")]), zipfile.ZIP_STORED)])
+    assert sorted(r.payload.decode() for r in _read(spark, tmp_path, good).collect()) == ["<p>a</p>", "<p>b</p>"]
+    (tmp_path / "bad").mkdir()
+    with pytest.raises(PySparkException, match="has 2"):
+        _read(spark, tmp_path / "bad", _package([*members, ("indexes/i.cdxj", line("a", "data.warc.gz"), zipfile.ZIP_STORED)])).collect()
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 64, 10_000])
+def test_streaming_equals_whole_reading(chunk):
+    packed = [A.record(f"http://x.example/{i}", "p" * i * 37, None) for i in range(6)]
+    plain = [gzip.decompress(p) for p in packed]
+    for raw, sizes in ((b"".join(packed), packed), (b"\r\n".join(plain) + b"\r\n", None), (packed[0] + plain[1] + packed[2], None)):
+        found = list(A._all_records(io.BytesIO(b"before" + raw + b"after"), 6, len(raw), chunk))
+        assert [A.parse(r)[1] for _, r in found] == [f"http://x.example/{i}" for i in range(len(found))] and len(found) in (3, 6)
+        if sizes:
+            assert [at for at, _ in found] == [6 + sum(map(len, sizes[:i])) for i in range(6)]
+    with pytest.raises(ValueError, match="cut off"):
+        list(A._all_records(io.BytesIO(packed[0] + packed[1][:-3]), 0, len(packed[0]) + len(packed[1]) - 3, chunk))
+
+
+def test_directories_are_read_by_many_tasks(spark, tmp_path):
+    raw, index = _records(1)
+    data = _package([("archive/d.warc.gz", raw, zipfile.ZIP_STORED), ("indexes/i.cdxj", index, zipfile.ZIP_STORED)])
+    for i in range(40):
+        (tmp_path / f"p{i}.wacz").write_bytes(data)
+    found = A.read_ranges(A.find_packages(spark, str(tmp_path)))
+    assert found.count() == 40 and found.rdd.getNumPartitions() == 40
+
+
+def test_a_bad_record_is_skipped_alone(spark, tmp_path):
+    raw, index = _records(3)
+    entry = json.loads(index.splitlines()[1][index.splitlines()[1].index(b"{") :])
+    at = int(entry["offset"]) + 15
+    bad = raw[:at] + bytes(x ^ 255 for x in raw[at : at + 9]) + raw[at + 9 :]
+    data = _package([("archive/d.warc.gz", bad, zipfile.ZIP_STORED), ("indexes/i.cdxj", index, zipfile.ZIP_STORED)])
+    assert sorted(r.uri for r in _read(spark, tmp_path, data, errors="skip").collect()) == ["http://x.example/0", "http://x.example/2"]
+    with pytest.raises(PySparkException):
+        _read(spark, tmp_path, data).collect()
+
+
 def test_ranges_join_neighbours():
     raw, index = _records(40)
     data = _package([("archive/d.warc.gz", raw, zipfile.ZIP_STORED), ("indexes/i.cdxj", index, zipfile.ZIP_STORED)])
