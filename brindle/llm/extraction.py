@@ -6,8 +6,10 @@ by generalised paths of tags and classes, digits and generated names left out, s
 agree. Every page votes for its best path; a host's winning paths are those with at least MIN_SHARE of its votes.
 Then each page is extracted again from the first winning path that it has.
 
-Plan: two Arrow passes over the pages. Between them votes are summed by host and path; what meets the pages in the
-second pass is a few paths a host, broadcast where that table is small and joined by a shuffle on host where it isn't.
+Plan: two Arrow passes over the pages. Between them votes are summed by host and path, combined before the shuffle; what
+meets the pages in the second pass is at most 1 / MIN_SHARE paths a host, broadcast where that table is small and joined by
+a shuffle on host where it isn't. A hot host's pages are then split over tasks by adaptive execution, since nothing
+comes between that join and the result, and only a row of paths has to be read by each of them.
 
 Defined results
   null or empty html         empty text, null path, no vote
@@ -28,7 +30,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import bytewords as bw
@@ -207,14 +209,14 @@ def votes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
 
 def winning_paths(counted: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """``(host, paths)``: each host's winning paths, most votes first."""
-    share = counted.withColumn("share", F.col("votes") / F.sum("votes").over(Window.partitionBy("host")))
-    ranked = share.where(F.col("share") >= min_share).groupBy("host").agg(F.sort_array(F.collect_list(F.struct(-F.col("votes"), -F.col("score"), F.col("path").alias("path")))).alias("r"))
+    all_votes = counted.groupBy("host").agg(F.sum("votes").alias("all"))
+    ranked = counted.join(all_votes, "host").where(F.col("votes") / F.col("all") >= min_share).groupBy("host").agg(F.sort_array(F.collect_list(F.struct(-F.col("votes"), -F.col("score"), F.col("path").alias("path")))).alias("r"))
     return ranked.select("host", F.col("r.path").alias("paths"))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, min_share: float = MIN_SHARE) -> DataFrame:
     """``(page_id, host, path, text)`` of every page."""
-    winners = materialize(winning_paths(votes(pages, url_col, html_col), min_share), "winners")
+    winners = materialize(winning_paths(materialize(votes(pages, url_col, html_col), "votes"), min_share), "winners")
 
     def run(column: pa.Array, chosen: pa.Array) -> pa.Array:
         out, at = [], 0
