@@ -135,19 +135,14 @@ def posterior(a: Accuracies) -> Column:
 
 
 def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``__row`` and ``posterior`` for every row of the input."""
-    voted = votes(docs, text_col)
+    """``__row`` and ``posterior`` for every row of the input; rows are written with their votes, so that each text is looked at once."""
+    voted = materialize(votes(docs, text_col), "voted")
     return voted.select("__row", F.round(posterior(learn(voted)), 6).alias("posterior"))
 
 
 def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents whose posterior reaches MIN_POSTERIOR; columns unchanged."""
-    return _passing(judge(docs, text_col)).select("__row.*")
-
-
-def _passing(judged: DataFrame) -> DataFrame:
-    """As a generator rather than a filter, which the optimizer would evaluate a second time below the projection."""
-    return judged.select(F.inline(F.when(F.col("posterior") >= MIN_POSTERIOR, F.array(F.struct("__row", "posterior"))).otherwise(F.array().cast(f"array<struct<__row:{judged.schema['__row'].dataType.simpleString()},posterior:double>>"))))
+    return judge(docs, text_col).where(F.col("posterior") >= MIN_POSTERIOR).select("__row.*")
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
