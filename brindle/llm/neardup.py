@@ -348,31 +348,33 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, coordina
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, coordinates: int = COORDINATES, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, coordinates: int = COORDINATES, rows_a_band: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, class_id, n_links)``: one row for each document.
 
     Documents are near-duplicates if the Jaccard similarity of their word-shingle sets is at least ``threshold``; classes
     are closed under that relation, and ``class_id`` is the least doc_id of the class. ``n_links`` is how many other
     shingle sets of the class are near-duplicates of the document's; copies of one set count once, and not for each other.
     """
-    return _classes(docs, id_col, text_col, shingle, coordinates, rows, threshold, True)
+    return _classes(docs, id_col, text_col, shingle, coordinates, rows_a_band, threshold, True)
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, coordinates: int = COORDINATES, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, coordinates: int = COORDINATES, rows_a_band: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without those of which a class keeps another, by ``near_duplicates``; columns unchanged.
 
     Rows that share a doc_id are one document, of which one row stays. Rows without a doc_id all stay.
     """
-    key = F.col(f"`{id_col}`").cast("bigint")
+    # rows as one column, so that whatever they hold clashes with nothing
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    order = F.struct(F.xxhash64(F.col(f"`{text_col}`")).alias("t"), F.xxhash64(F.to_json(row)).alias("r"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("key"), row.alias("row"))
     with scope(docs.sparkSession) as made:
-        found = _classes(docs, id_col, text_col, shingle, coordinates, rows, threshold, False)
-        gone = materialize(found.where("doc_id != class_id").select(F.col("doc_id").alias("__gone")), "gone")
-        again = materialize(docs.groupBy(key.alias("__again")).agg(F.count("*").alias("__n")).where("__n > 1 AND __again IS NOT NULL").select("__again"), "again")
+        found = _classes(docs, id_col, text_col, shingle, coordinates, rows_a_band, threshold, False)
+        gone = materialize(found.where("doc_id != class_id").select(F.col("doc_id").alias("key")), "gone")
+        again = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1 AND key IS NOT NULL").select("key"), "again")
         hand_on(made, 2)  # both tables are read by the result
-    kept = docs.join(gone, key == F.col("__gone"), "left_anti")
+    kept = rows.join(gone, "key", "left_anti")
     if again.isEmpty():
-        return kept
-    once = kept.join(again, key == F.col("__again"), "left_anti")
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    some = kept.join(again, key == F.col("__again"), "left_semi").select(key.alias("__key"), row.alias("__row"), F.struct(F.xxhash64(F.col(f"`{text_col}`")).alias("t"), F.xxhash64(row).alias("r")).alias("__order"))
-    return once.unionByName(some.groupBy("__key").agg(F.min_by("__row", "__order").alias("__row")).select("__row.*"))
+        return kept.select("row.*")
+    once = kept.join(again, "key", "left_anti").select("row.*")
+    some = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("key"), row.alias("row"), order.alias("order")).join(gone, "key", "left_anti").join(again, "key", "left_semi")
+    return once.unionByName(some.groupBy("key").agg(F.min_by("row", "order").alias("row")).select("row.*"))

@@ -64,7 +64,7 @@ def test_groups_and_buckets_of_many_blocks(spark, prose, monkeypatch, block):
     texts += [prose(60) for _ in range(10)] + texts[:5]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     # one coordinate a band: every pair at the threshold is all but sure to meet
-    assert _found(N.near_duplicates(docs, rows=1)) == _brute(texts)
+    assert _found(N.near_duplicates(docs, rows_a_band=1)) == _brute(texts)
 
 
 def test_a_bucket_of_dissimilar_texts(spark, prose, monkeypatch):
@@ -73,7 +73,7 @@ def test_a_bucket_of_dissimilar_texts(spark, prose, monkeypatch):
     passage = prose(40)
     texts = [f"{prose(45)} {passage}" for _ in range(150)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert _found(N.near_duplicates(docs, rows=1)) == _brute(texts) == {i: (i, 0) for i in range(150)}
+    assert _found(N.near_duplicates(docs, rows_a_band=1)) == _brute(texts) == {i: (i, 0) for i in range(150)}
 
 
 def test_repeated_ids_in_any_order(spark, prose):

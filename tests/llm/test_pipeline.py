@@ -1,8 +1,10 @@
+import pathlib
 import random
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from brindle.llm import classifier, decontam, neardup, packing, rules
@@ -54,6 +56,36 @@ def test_stages_are_the_operators_on_what_was_kept(spark, folder):
     assert {x for r in final.collect() for x in r.doc_ids} == kept[3]
 
 
+CLASHING = "node key label hub __row __score v_symbols words posterior __n p_quality keep doc_ids n_tokens pack_group length a b n item_id __gone __again __shard".split()
+
+
+def test_other_columns_of_any_name_come_along(spark, folder):
+    """Columns with the names that stages use themselves change nothing and come out as they went in."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    wide = docs.select("*", *(F.lit(f"own {c}").alias(c) for c in CLASHING))
+    for name, stage in P.STAGES:
+        plain, made = stage(spark, docs, folder), stage(spark, wide, folder)
+        if name == P.STAGES[-1][0]:
+            assert sorted(map(str, made.collect())) == sorted(map(str, plain.collect()))
+            break
+        assert made.columns == wide.columns
+        rows = made.collect()
+        assert sorted(map(str, (r[:5] for r in rows))) == sorted(str(tuple(r)) for r in plain.collect())
+        assert all(r[5 + k] == f"own {c}" for r in rows for k, c in enumerate(CLASHING))
+        wide, docs = (spark.createDataFrame(f.collect(), f.schema) for f in (made, plain))
+
+
+def test_nothing_but_the_result_stays_in_the_shared_folder(spark, folder):
+    from brindle.plans import scratch
+
+    base = pathlib.Path(scratch.shared_dir(spark).removeprefix("file:"))
+    before = set(base.iterdir())
+    P.run(spark, folder)
+    left = [p.name for p in set(base.iterdir()) - before]
+    # the bins; packing reads its lengths only while they are written
+    assert len(left) == 1 and left[0].startswith("best_fit_packing")
+
+
 def test_empty_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
