@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import bytewords as bw
-from brindle.plans.scratch import materialize
+from brindle.plans.scratch import materialize, scope
 
 #: The training sample's bounds; scoring and everything else covers all rows.
 TRAIN_DOCS, TRAIN_BYTES = 12_000, 36_000_000
@@ -190,8 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Descent is sequential, so one task trains; only the model, of a size that BUCKET_BITS fixes, comes to the driver.
     """
-    sample = training_sample(docs, labels, id_col, text_col, **bounds).repartition(1).sortWithinPartitions("id").select("q", "t", "text")
-    row = sample.mapInArrow(_train_task, "table binary, bias binary, n bigint").first()
+    with scope(docs.sparkSession):
+        sample = training_sample(docs, labels, id_col, text_col, **bounds).repartition(1).sortWithinPartitions("id").select("q", "t", "text")
+        row = sample.mapInArrow(_train_task, "table binary, bias binary, n bigint").first()
     if row is None or not row["n"]:
         if not _usable(labels, id_col).isEmpty() and not docs.isEmpty():
             raise ValueError("there are usable labels, but none of a document that is present and fits the sample's bounds")

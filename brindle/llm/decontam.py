@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import bytewords as bw
-from brindle.plans.scratch import materialize
+from brindle.plans.scratch import hand_on, materialize, scope
 
 WINDOW, MIN_WORDS, LITERALS, SHARE, MANY = 8, 5, 0.5, 0.5, 6
 PREFILTER_HASHES = 4_000_000
@@ -255,5 +255,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, prefilter: int = PREFILTER_HASHES) -> DataFrame:
     """The documents that leak no item; columns unchanged."""
-    gone = materialize(_leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, prefilter).select(F.col("key").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, _key(docs, id_col, text_col) == F.col("__gone"), "left_anti")
+    with scope(docs.sparkSession) as made:
+        gone = materialize(_leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, prefilter).select("key").distinct(), "gone")
+        hand_on(made, 1)
+    rows = docs.select(_key(docs, id_col, text_col).alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(gone, "key", "left_anti").select("row.*")

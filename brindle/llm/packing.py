@@ -150,3 +150,20 @@ def pack(
     # a number of partitions of its own: rows are so slim that by bytes all groups would share one task
     tasks = min(groups, 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return rows.repartition(tasks, "pack_group").groupBy("pack_group").applyInArrow(_pack_group(capacity), BIN_TYPE)
+
+
+def sequences(bins: DataFrame, tokens_table: DataFrame) -> DataFrame:
+    """``(pack_group, pack_bin, input_ids)``: the token ids of every bin, its pieces one after the other, at most a bin's capacity.
+
+    bins: of ``pack`` in tokens. tokens_table: ``(doc_id, token_ids)`` as ``tokenfile`` writes it, one row a document; a
+    repeated doc_id is an error, since starts then name no place. Pieces without a doc_id have no ids to be found by: an
+    error too. The ids move once, each piece by itself.
+    """
+    piece = F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size("doc_ids") - 1).alias("at"), "doc_ids", "starts", "lengths")).alias("p")
+    pieces = bins.select("pack_group", "pack_bin", piece).select("pack_group", "pack_bin", "p.at", F.col("p.doc_ids").alias("doc_id"), "p.starts", "p.lengths")
+    one = tokens_table.groupBy("doc_id").agg(F.count("*").alias("n"), F.any_value("token_ids").alias("token_ids"))
+    ids = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("several token lists of document "), F.col("doc_id").cast("string"))).cast("array<int>"))
+    ids = ids.when(F.col("token_ids").isNull(), F.raise_error(F.concat(F.lit("no token list of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).cast("array<int>"))
+    held = pieces.join(one, "doc_id", "left").select("pack_group", "pack_bin", F.struct("at", ids.otherwise(F.slice("token_ids", (F.col("starts") + 1).cast("int"), F.col("lengths").cast("int"))).alias("ids")).alias("x"))
+    inside = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["ids"])
+    return held.groupBy("pack_group", "pack_bin").agg(F.flatten(inside).alias("input_ids"))

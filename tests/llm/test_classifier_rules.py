@@ -1,3 +1,4 @@
+import math
 import random
 
 import duckdb
@@ -29,6 +30,113 @@ def test_held_out_accuracy():
     assert ((good >= C.MIN_QUALITY) & (toxic < C.MAX_TOXIC))[clean].mean() > 0.97
 
 
+BLANK = b"\t\n\v\f\r "
+
+
+def _plain_features(text: str, bits: int) -> list[int]:
+    """Buckets of a text's tokens and n-grams, one after the other, by plain whole numbers."""
+    raw, mask, base = (text or "").encode(), (1 << 64) - 1, 0x9E3779B97F4A7C15
+    out, token = [], b""
+    for c in raw + b" ":
+        if c not in BLANK:
+            token += bytes([c])
+        elif token:
+            x = (sum((b + 1) * pow(base, i, 1 << 64) for i, b in enumerate(token)) + len(token)) & mask
+            x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+            x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+            out.append((x ^ (x >> 31)) >> (64 - bits))
+            token = b""
+    for size in C.GRAMS:
+        for i in range(len(raw) - size + 1):
+            gram = raw[i : i + size]
+            if any(b in BLANK for b in gram[1:-1]):
+                continue
+            h = 0
+            for b in gram:
+                h = (h * 0x01000193 + b) & 0xFFFFFFFF
+            x = ((h ^ (size * 0x3C6EF372 & 0xFFFFFFFF)) * 0x9E3779B1) & 0xFFFFFFFF
+            out.append((((x ^ (x >> 15)) * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - bits))
+    return out
+
+
+TEXTS = ["a", "two words", "  blanks\n\n around \t it ", "über Größe 漢字かな 🎉", "same same same", "", None, "x" * 40, "the end."]
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 8, 13])
+def test_features_equal_plain_ones(piece, monkeypatch, prose):
+    """Also where a text is looked at in pieces: n-grams across the cuts are there."""
+    monkeypatch.setattr(C, "PIECE", piece)
+    texts = [*TEXTS, prose(60)]
+    found = [[] for _ in texts]
+    for ids, rows in C.features(pa.array(texts), 12):
+        for i, r in zip(ids.tolist(), rows.tolist()):
+            found[r].append(i)
+    assert [sorted(x) for x in found] == [sorted(_plain_features(t, 12)) for t in texts]
+
+
+def _plain_training(texts, labels, bits, dimensions, epochs, rate, seed):
+    """The same descent, number by number; gives a function from a text to class probabilities."""
+    k, random_state = len(C.CLASSES), np.random.default_rng(seed)
+    vectors = random_state.uniform(-1 / dimensions, 1 / dimensions, (1 << bits, dimensions)).tolist()
+    layer = random_state.normal(0, 1, (k, dimensions)).tolist()
+    share = [labels.count(c) / len(labels) for c in range(k)]
+    bias = [math.log(max(s, 1e-3)) for s in share]
+    met, met_layer = [1e-8] * (1 << bits), [1e-2] * k
+    weights = []
+    for t in texts:
+        ids = _plain_features(t, bits)
+        weights.append({i: ids.count(i) / len(ids) for i in set(ids)})
+
+    def forward(w):
+        hidden = [sum(x * vectors[i][d] for i, x in w.items()) for d in range(dimensions)]
+        z = [sum(a * h for a, h in zip(layer[c], hidden)) + bias[c] for c in range(k)]
+        e = [math.exp(x - max(z)) for x in z]
+        return hidden, [x / sum(e) for x in e]
+
+    steps, done = epochs * len(texts), 0
+    for _ in range(epochs):
+        for d in random_state.permutation(len(texts)).tolist():
+            done += 1
+            w = weights[d]
+            if not w:
+                continue
+            hidden, p = forward(w)
+            error = [(c == labels[d]) - p[c] for c in range(k)]
+            now = rate * (1 - done / (steps + 1))
+            back = [sum(error[c] * layer[c][j] for c in range(k)) for j in range(dimensions)]
+            for i, x in w.items():
+                met[i] += x * x * sum(b * b for b in back)
+                for j in range(dimensions):
+                    vectors[i][j] += now * x / math.sqrt(met[i]) * back[j]
+            for c in range(k):
+                met_layer[c] += error[c] ** 2 * sum(h * h for h in hidden)
+                for j in range(dimensions):
+                    layer[c][j] += now / math.sqrt(met_layer[c]) * error[c] * hidden[j]
+                bias[c] += now * 0.1 * error[c]
+    return lambda text: forward(weights[texts.index(text)])[1]
+
+
+def test_training_and_scores_equal_plain_ones():
+    texts, labels = ["kind words here", "vile words", "a kind one", "", "vile vile thing", "dull"], [2, 1, 2, 0, 1, 0]
+    how = {"bits": 8, "dimensions": 3, "epochs": 3, "rate": 0.5, "seed": 3}
+    model = C.train(pa.array(texts), np.array(labels), **how)
+    plain = _plain_training(texts, labels, **how)
+    assert np.allclose(model.probabilities(pa.array(texts)), [plain(t) for t in texts], atol=2e-3)
+
+
+def test_ties_at_the_thresholds(spark):
+    rows = spark.createDataFrame([(0.5, 0.0), (0.5, 0.5), (0.49, 0.0), (1.0, 0.49)], "p_quality double, p_toxic double").select(F.struct("p_quality", "p_toxic").alias("s"))
+    assert [r[0] for r in rows.select(C._kept("s")).collect()] == [True, False, False, True]
+
+
+def test_a_posterior_of_just_one_half_is_kept(spark, monkeypatch):
+    """Rules that say nothing leave the share of good documents, here one half."""
+    monkeypatch.setattr(R, "learn", lambda voted: R.Accuracies(0.5, np.full(len(R.RULES), 0.5), np.full(len(R.RULES), 0.5)))
+    docs = spark.createDataFrame([(1, "word"), (2, ""), (3, "of the words and more of them")], "doc_id long, text string")
+    assert [(r.doc_id, r.posterior) for r in R.kept(docs).orderBy("doc_id").collect()] == [(1, 0.5), (3, 0.5)]
+    assert sorted(r.doc_id for r in R.keep(docs).collect()) == [1, 3]
+
+
 def test_scores_dont_depend_on_batches(prose):
     texts = pa.array([prose(n) for n in (1, 5, 900)] + ["", None, "x" * 70_000, "é " * 40_000])
     model = C.train(pa.array([prose(30), "bad " * 20, prose(20), "bad words " * 9]), np.array([2, 1, 2, 1]), bits=10, epochs=3)

@@ -48,6 +48,80 @@ def test_re_parameterised_questions(spark, text, leaks):
     assert _found(spark, [text], [ITEM]) == ({(0, 0)} if leaks else set())
 
 
+def _plain_templates(text):
+    """For each kind: template words and, where they are slots, the words they stand for. ASCII texts."""
+    words, last = [], 0
+    for m in re.finditer(r"[A-Za-z0-9]+", text or ""):
+        between = (text or "")[last : m.start()]
+        words.append((m[0], not last or any(c in ".!?:\n" for c in between)))
+        last = m.end()
+    slots = ["number" if w[0].isdigit() or w.lower() in D.NUMBERS else "" for w, _ in words]
+    units = ["unit" if not s and k and slots[k - 1] == "number" and words[k][0].lower() in D.UNITS else s for k, s in enumerate(slots)]
+    names = [s or ("name" if w[0].isupper() and not (first and w.lower() in D.STOP) else "") for s, (w, first) in zip(units, words)]
+    for kind, own in ((0, units), (1, names), (2, [""] * len(words))):
+        out = []
+        for (w, _), s in zip(words, own):
+            if s and out and out[-1][0] == f"<{s}>":
+                out[-1] = (out[-1][0], (*out[-1][1], w.lower()))
+            else:
+                out.append((f"<{s}>", (w.lower(),)) if s else (w.lower(), None))
+        yield kind, out
+
+
+def _plain_leaks(docs, items):
+    """What the module's docstring says, pair by pair."""
+    found = set()
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            for (kind, x), (_, y) in zip(_plain_templates(doc), _plain_templates(item)):
+                if kind == 2 and 0 < len(y) < D.MIN_WORDS and x == y:
+                    found.add((d, i))
+                size = min(D.WINDOW, len(y))
+                if size < D.MIN_WORDS:
+                    continue
+                cut = lambda t: [t[k : k + size] for k in range(len(t) - size + 1)]
+                literal = lambda w: 2 * sum(v is None for _, v in w) >= len(w)
+                mine = [(k, w) for k, w in enumerate(cut(y)) if literal(w)]
+                along = {}
+                for p, w in enumerate(cut(x)):
+                    for k, v in mine:
+                        if [a for a, _ in w] == [a for a, _ in v]:
+                            along.setdefault(p - k, []).append((k, [(k + j, v[j][1], w[j][1]) for j in range(size) if v[j][1]]))
+                places = set()
+                for windows in along.values():
+                    pairs = {q for _, held in windows for q in held}
+                    of = lambda q: [r for r in pairs if r[1] == q[1]]
+                    most = lambda q: 2 * sum(r[2] == q[2] for r in of(q)) > len(of(q))
+                    odd = {q[1:] for q in pairs if any(r[2] != q[2] for r in of(q)) and not most(q)}
+                    split = any(not any(most(r) for r in of((0, *q))) for q in odd)
+                    for k, held in windows:
+                        if all(a == b for _, a, b in held) or not split and not any(q[1:] in odd for q in held):
+                            places.add(k)
+                if places and (len(places) >= D.MANY or 2 * len(places) >= len(mine)):
+                    found.add((d, i))
+    return found
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_equals_brute_force_on_changed_questions(spark, seed):
+    random.seed(seed)
+    plain = "buys sells apples pears rope for each friend at market then gives away half how many are left after long walk".split()
+    names, units = ["Anna", "Bob", "Carl", "Dora Low"], ["km", "kg", "hours", "days"]
+    def question(n):
+        return " ".join(random.choice([str(random.randint(2, 9)), f"{random.randint(2, 40)} {random.choice(units)}", random.choice(names)]) if random.random() < 0.3 else random.choice(plain) for _ in range(n))
+    items = [question(n) for n in (2, 4, 5, 6, 7, 8, 12, 20, 30, 40)] + ["The 3 apples", "1 2 3 4 5 6 7 8 9"]
+    docs = []
+    for item in items:
+        for _ in range(6):
+            swap = {w: (str(random.randint(2, 99)) if w.isdigit() else random.choice(names)) for w in item.split() if random.random() < 0.5 and (w.isdigit() or w in names)}
+            words = [swap.get(w, w) for w in item.split()]
+            for _ in range(random.choice((0, 0, 1, 2))):
+                words[random.randrange(len(words))] = random.choice(["7", "Emil", "pears"])
+            docs.append(random.choice(["", question(5) + ". "]) + " ".join(words) + random.choice(["", ". " + question(5), "!"]))
+    wanted = _plain_leaks(docs, items)
+    assert _found(spark, docs, items) == wanted and 20 < len(wanted) < len(docs) * len(items)
+
+
 def test_frames_of_placeholders_match_nothing(spark):
     assert _found(spark, ["1 2 km 3 m 4 kg 5 g 6 cm 7 mm 8 l", "Anna Low 1 Bob 2 Carl 3 Dora 4 Emil 5 Fritz 6"], ["9 8 km 7 m 6 kg 5 g 4 cm 3 mm 2 l", "Zoe 1 Yan 2 Xi 3 Will 4 Vera 5 Uwe 6"]) == set()
 

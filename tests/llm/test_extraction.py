@@ -1,4 +1,6 @@
+import re
 import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -47,6 +49,67 @@ def test_equals_brute_force_votes(spark):
         assert "©" not in text and "track(" not in text and text
 
 
+class _Reader(HTMLParser):
+    """Blocks of text inside the first element of a tag and classes, by the standard library's parser."""
+
+    BLOCKS = set("p h1 h2 h3 h4 h5 h6 li div br article section ul ol table tr td th blockquote pre".split())
+    SILENT = {"script", "style", "title"}
+    ASIDE = {"nav", "footer", "aside", "header"}
+
+    def __init__(self, tag, names):
+        super().__init__(convert_charrefs=True)
+        self.tag, self.names, self.depth, self.silent, self.run, self.blocks = tag, names, 0, 0, "", []
+        self.aside: list[str] = []  # open elements from one on that is beside the text
+
+    def flush(self):
+        if text := " ".join(self.run.split()):
+            self.blocks.append(text)
+        self.run = ""
+
+    def handle_starttag(self, tag, attrs):
+        if self.depth and tag in self.BLOCKS | self.ASIDE:
+            self.flush()
+        self.silent += tag in self.SILENT
+        names = {re.sub(r"\d+", "#", n) for n in (dict(attrs).get("class") or "").lower().split()}
+        if self.depth and (self.aside or tag in self.ASIDE or names & {"ad", "menu", "sidebar"}):
+            self.aside.append(tag)
+        if self.depth:
+            self.depth += tag == self.tag
+        elif tag == self.tag and names == self.names:
+            self.depth = 1
+
+    def handle_endtag(self, tag):
+        if self.depth and tag in self.BLOCKS | self.ASIDE | {self.tag}:
+            self.flush()
+        self.silent -= tag in self.SILENT
+        if tag in self.aside:
+            while self.aside.pop() != tag:
+                pass
+        if self.depth and tag == self.tag:
+            self.depth -= 1
+
+    def handle_data(self, data):
+        if self.depth and not self.silent and not self.aside:
+            self.run += data
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_texts_equal_those_of_another_parser(spark, sf):
+    """What is extracted from the tables' pages is what html.parser finds in the element that the path names."""
+    import pyarrow.parquet as pq
+
+    pages = {r["page_id"]: r["html"] for r in pq.read_table(f"/root/testdata/sf{sf}/pages.parquet").to_pylist()}
+    found = X.extract_pages(spark.read.parquet(f"/root/testdata/sf{sf}/pages.parquet")).collect()
+    assert len(found) == len(pages)
+    for r in found:
+        tag, *names = r.path.rpartition(">")[2].split(".")
+        reader = _Reader(tag, set(names))
+        reader.feed(pages[r.page_id])
+        reader.close()
+        reader.flush()
+        assert r.text.split("\n") == reader.blocks, (r.page_id, r.path)
+
+
 def test_defined_results(spark):
     rows = [(1, None, page(TEXT)), (2, "not a url", page(TEXT)), (3, "http://h.example/", None), (4, "http://h.example/", ""), (5, "http://h.example/", "only words"), (5, "http://h.example/", "only words"), (None, "http://i.example/", page(TEXT)), (6, "http://h.example/", "<div " * 2000), (7, "http://h.example/", "<p>" + "x " * 300_000), (8, "http://h.example/", '<div class="a"><a href="x>y" class=\'q\'>link</a> unclosed " quote <b>')]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS path", "3 AS text")

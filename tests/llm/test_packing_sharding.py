@@ -4,6 +4,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from brindle.llm import packing as P
@@ -86,6 +87,26 @@ def test_lengths_are_tokens_of_the_written_lists(spark, prose, tmp_path):
     assert fits.selectExpr("octet_length(text) AS n").first().n > P.CAPACITY and [r.starts for r in P.pack(fits).collect()] == [[0]]
 
 
+def test_sequences_are_the_texts_tokens(spark, prose, tmp_path):
+    rows = [(i, prose(30 + 3 * i)) for i in range(50)] + [(100, prose(4000)), (101, "é漢🎉 " * 40), (102, None), (103, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tokenfile.write_tokens(docs, str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    bins = P.pack(docs, sequence_tokens=500)
+    made = {(r.pack_group, r.pack_bin): r.input_ids for r in P.sequences(bins, table).collect()}
+    whole, again = {r.doc_id: r.token_ids for r in table.collect() if r.token_ids}, {}
+    for b in bins.collect():
+        ids = made.pop((b.pack_group, b.pack_bin))
+        assert len(ids) == b.n_tokens <= 500
+        for d, s, n in zip(b.doc_ids, b.starts, b.lengths):
+            again.setdefault(d, {})[s], ids = ids[:n], ids[n:]
+    assert not made and {d: [t for s in sorted(p) for t in p[s]] for d, p in again.items()} == whole
+    for wrong in (table.union(table), table.where("doc_id != 100")):
+        with pytest.raises(PySparkException, match="token list"):
+            P.sequences(bins, wrong).collect()
+    assert P.sequences(bins.limit(0), table).count() == 0
+
+
 @pytest.fixture(scope="module")
 def shard_docs(spark, tmp_path_factory):
     random.seed(6)

@@ -57,6 +57,22 @@ def test_token_tables_round_trip(spark, own, prose, tmp_path, encoding):
     assert meta.column(0).has_offset_index and meta.column(0).has_column_index
 
 
+def test_page_indexes_let_a_reader_skip_pages(spark, prose, tmp_path):
+    """By the page index a condition on doc_id leaves a page's rows of the file's."""
+    first = 10_000_000_000
+    docs = spark.createDataFrame([(first + i, prose(20)) for i in range(6000)], "doc_id long, text string").coalesce(1)
+    F3.write_tokens(docs, str(tmp_path / "t"), encoding="delta", page_rows=200)
+    (file,) = (tmp_path / "t").glob("*.parquet")
+    jvm = spark._jvm
+    api, doc = jvm.org.apache.parquet.filter2.predicate.FilterApi, jvm.org.apache.parquet.filter2.predicate.FilterApi.longColumn("doc_id")
+    some = getattr(api, "and")(api.gtEq(doc, first + 3000), api.ltEq(doc, first + 3010))
+    source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(str(file)), spark._jsc.hadoopConfiguration())
+    options = jvm.org.apache.parquet.ParquetReadOptions.builder().withRecordFilter(jvm.org.apache.parquet.filter2.compat.FilterCompat.get(some)).useColumnIndexFilter(True).build()
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source, options)
+    assert reader.getRecordCount() == 6000 and 11 <= reader.getFilteredRecordCount() <= 400
+    reader.close()
+
+
 def test_token_table_refuses_and_takes_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, n_tokens int")
     with pytest.raises(ValueError):
