@@ -1,7 +1,22 @@
 """Stages that turn raw documents into packed training sequences.
 
 Each stage works on all that its predecessor kept and returns the columns of ``documents``, but for the last, which
-returns the packed bins. Between stages the rows are written as Parquet into the cluster's shared folder and read again.
+returns the packed bins. Between stages the rows are written as Parquet into the cluster's shared folder and read again;
+what a stage has written for itself, and what the stage before it kept, is deleted once its own rows are written.
+
+Defined results, stage by stage, of a row
+                  quality_rules   quality_classifier       minhash_near_dedup         decontamination   best_fit_packing
+  null doc_id     judged          judged                   stays                      judged            packed, its id null
+  null text       goes            by the priors            stays                      stays             in no bin
+  empty text      goes            by the priors            stays                      stays             in no bin
+  very long text  judged whole    judged whole             compared whole             searched whole    cut into full bins and a rest
+  tie             0.5 stays       quality stays, toxic     the least doc_id stays     half of an        the least doc_id goes first
+                                  goes                                                item's windows
+                                                                                      is a leak
+  repeated row    each judged     each judged              one stays                  each judged       each packed
+  no row          no row          no row                   no row                     no row            no bin
+  more columns    kept, whatever  kept                     kept                       kept              not read
+                  their names
 """
 
 from __future__ import annotations
@@ -9,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import classifier, decontam, neardup, packing, rules
-from brindle.plans.scratch import materialize
+from brindle.plans.scratch import hand_on, materialize, remove, scope
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +70,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, one after the other."""
     docs = _table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    with scope(spark) as kept:
+        for name, stage in STAGES:
+            with scope(spark) as made:
+                docs = materialize(stage(spark, docs, sf_dir), name)
+                hand_on(made, 1)
+            for path in kept[:-1]:
+                remove(spark, path)
+            del kept[:-1]
+        hand_on(kept, 1)
     return docs
