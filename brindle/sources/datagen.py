@@ -152,17 +152,17 @@ def _walk(kind: str, seed: int, at: int, first: int, rows: int, share: float) ->
     return draws, begin + 1, null[begin], at + place
 
 
-def _offsets(specs: list[Spec], seed: int, rows: int, share: float) -> list[list[int]]:
-    """For each column, where the draws of each block of rows begin."""
+def _offsets(specs: list[Spec], seed: int, rows: int, share: float) -> list[list[int] | int]:
+    """For each column, where the draws of each block of rows begin; where that follows from the row, only where the column's begin."""
     at, out = 0, []
     for spec in specs:
         if spec.kind == "serial" or (share <= 0 and spec.kind not in _DRAWN):
             out.append([])
         elif share <= 0:
-            out.append([at + _closed(spec.kind, r) for r in range(0, rows, BLOCK)])
+            out.append(at)
             at += _closed(spec.kind, rows)
         elif spec.kind not in _DRAWN:
-            out.append([at + r for r in range(0, rows, BLOCK)])
+            out.append(at)
             at += rows
         else:
             own = []
@@ -261,7 +261,7 @@ def create_df(spark: SparkSession, schema: Mapping[str, str], rows: int = 100_00
         base = spark.range(0, rows, 1, partitions).withColumnRenamed("id", "__i")
         return base.select(*(_expression(s, i).alias(s.name) for s in specs))
     offsets = _offsets(specs, seed, rows, null_fraction)
-    work = [(k, s, o) for k, (s, o) in enumerate(zip(specs, offsets)) if o]
+    work = [(k, s, o) for k, (s, o) in enumerate(zip(specs, offsets)) if o != []]
     fields = [pa.field("__i", pa.int64())] + [pa.field(f"__c{k}", _DRAWN[s.kind][1] if s.kind in _DRAWN else pa.bool_()) for k, s, _ in work]
     types = ", ".join(["__i bigint", *(f"__c{k} {_DRAWN[s.kind][0] if s.kind in _DRAWN else 'boolean'}" for k, s, _ in work)])
     blocks = -(-rows // BLOCK)
@@ -272,7 +272,8 @@ def create_df(spark: SparkSession, schema: Mapping[str, str], rows: int = 100_00
                 first, n = block * BLOCK, min(BLOCK, rows - block * BLOCK)
                 columns = [pa.array(np.arange(first, first + n))]
                 for _, s, own in work:
-                    draws, begin, null, _ = _walk(s.kind, seed, own[block], first, n, null_fraction)
+                    at = own[block] if isinstance(own, list) else own + (_closed(s.kind, first) if s.kind in _DRAWN else first)
+                    draws, begin, null, _ = _walk(s.kind, seed, at, first, n, null_fraction)
                     columns.append(_values(s.kind, draws, begin, null, first) if s.kind in _DRAWN else pa.array(null))
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
