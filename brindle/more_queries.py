@@ -420,6 +420,12 @@ def ranges_of_large_keys(spark, sf_dir):
     return rows.groupBy(ranges.worker_of(F.col("k"), low, high, 7).alias("worker")).agg(F.count("*").alias("n"))
 
 
+@_query("SELECT slice, count(*) AS n, sum(l_orderkey)::BIGINT AS keys FROM (SELECT l_orderkey, ((row_number() OVER () - 1) * 7 // (SELECT count(*) FROM lineitem))::INTEGER AS slice FROM lineitem) GROUP BY 1")
+def contiguous_slices(spark, sf_dir):
+    """Seven slices of a table in its own order."""
+    return ranges.slices(_table(spark, sf_dir, "lineitem"), 7).groupBy("slice").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
+
+
 @_query(_values([("a", "key"), ("b", "k"), ("c", None)], "columns, found"))
 def detected_keys(spark, sf_dir):
     """The first whole number of a primary key."""

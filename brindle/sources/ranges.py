@@ -65,3 +65,20 @@ def detect_key(schema: T.StructType, primary_key: list[str]) -> str | None:
     kinds = {f.name: f.dataType for f in schema.fields}
     whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     return next((c for c in primary_key if isinstance(kinds.get(c), whole)), None)
+
+
+def slices(table: DataFrame, n: int, column: str = "slice") -> DataFrame:
+    """The rows with the number, from 0, of the one of ``n`` contiguous slices of the table that holds them; slices differ by a row at most.
+
+    Rows are counted by partition first, and only these counts come to the driver. The table must give its rows in the same order twice, as scans do.
+    """
+    if n < 1:
+        raise ValueError(f"there must be at least one slice, not {n}")
+    placed = table.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__at"))
+    counts = sorted((r["__part"], r["count"]) for r in placed.groupBy("__part").count().collect())
+    before, starts = 0, {}
+    for part, many in counts:
+        starts[part], before = before, before + many
+    start = F.element_at(F.create_map(*(F.lit(x) for pair in starts.items() for x in pair)), F.col("__part")) if starts else F.lit(0)
+    index = (F.col("__at") + start).cast("decimal(20,0)")
+    return placed.withColumn(column, F.call_function("div", index * n, F.lit(max(1, before)).cast("decimal(20,0)")).cast("int")).drop("__part", "__at")

@@ -148,6 +148,14 @@ def test_large_keys_keep_their_range(spark):
     assert [r.w for r in wide.collect()] == [0, 1]
 
 
+def test_slices_are_contiguous_and_even(spark):
+    for rows, parts, n in ((100, 7, 8), (3, 2, 5), (0, 1, 2), (64, 1, 1)):
+        made = [r.slice for r in ranges.slices(spark.range(0, rows, 1, parts), n).orderBy("id").collect()]
+        assert made == [i * n // rows for i in range(rows)]
+    with pytest.raises(ValueError):
+        ranges.slices(spark.range(3), 0)
+
+
 def test_metrics_are_measured(spark, tmp_path):
     store = DataStore(spark, str(tmp_path), batch_size=30)
     made = store.save(spark.range(100), "t", 2)
