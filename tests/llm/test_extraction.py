@@ -140,6 +140,22 @@ def test_stray_quotes_and_tags_without_an_end():
         assert time.perf_counter() - start < 5
 
 
+def test_a_hot_hosts_pages_are_split_over_tasks(spark):
+    """Where winners aren't broadcast, adaptive execution splits the pages of a host that has most of them."""
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    rows = [(i, f"http://{'hot' if i % 10 else f'h{i}'}.example/{i}", page(TEXT + "".join(f"<p>{i} {k} word</p>" for k in range(150)), n=i)) for i in range(1500)]
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        found = X.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8))
+        assert len(found.collect()) == 1500
+        assert "skewed" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_ties_and_paths():
     assert X.best({"b": 2.0, "a": 2.0, "c": 1.0}) == "a" and X.best({}) is None
     assert X._segment("div", ' class="B2 a10 x1y2 A10"') == "div.a#.b#"
