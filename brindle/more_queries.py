@@ -331,6 +331,26 @@ def directory_walks(spark, sf_dir):
     return out
 
 
+@_query(_values([("a.txt", True, 4, "k: 1"), ("deep/b.txt", True, 4, "k: 1"), ("deep", False, None, None), ("missing", False, None, None)], "name, is_file, size, content"))
+def files_and_facts(spark, sf_dir):
+    """What the tasks see of paths, and the bytes of those that are files."""
+    base = "/" + new_path(spark, "facts").removeprefix("file:").lstrip("/")
+    names = ("a.txt", "deep/b.txt", "deep", "missing")
+    documents.write_tree(spark.createDataFrame([(f"{base}/{n}",) for n in names[:2]], "path string").select("path", F.lit(b"k: 1").alias("content"))).collect()
+    found = PathSet.of(spark, [f"{base}/{n}" for n in names])
+    read = found.read_all_files().select("path", F.col("content").cast("string").alias("content"))
+    size = F.when(F.col("is_file"), F.col("size")).cast("int")
+    return documents.file_facts(found.frame).join(read, "path", "left").select(F.substring(F.col("path"), F.lit(len(base) + 2), F.length("path")).alias("name"), "is_file", size.alias("size"), "content")
+
+
+@_query("SELECT path, (row_number() OVER (ORDER BY path))::INTEGER AS place FROM (SELECT DISTINCT source AS path FROM documents WHERE source IS NOT NULL)")
+def path_set_order(spark, sf_dir):
+    """Paths in their order, as iterating over them gives them."""
+    found = PathSet(_table(spark, sf_dir, "documents").select("source"))
+    rows = [(p, k + 1) for k, p in enumerate(found)]
+    return spark.createDataFrame(rows, "path string, place int")
+
+
 # documents
 
 
@@ -433,6 +453,33 @@ def detected_keys(spark, sf_dir):
     return spark.createDataFrame([("a", ranges.detect_key(schema, ["name", "key"])), ("b", ranges.detect_key(schema, ["k", "key"])), ("c", ranges.detect_key(schema, ["name"]))], "columns string, found string")
 
 
+@_query(_values([("format", "unknown format 'xml'; there are spark, pandas, arrow"), ("limit", "limit must not be negative, but is -1"), ("name", "not a valid table to save to: 'a b'"), ("type", "x must be str, not int: 2"), ("option", "'z' isn't one of a, b"), ("unit", "rows must be positive"), ("shown", "DataStore(backend=parquet, format=arrow, transforms=0/1)")], "what, said"))
+def errors_and_names(spark, sf_dir):
+    """What wrong arguments are told, and how a store shows itself."""
+    store = DataStore(spark, sf_dir, Format.ARROW)
+    store.add_post_transform(lambda: None)
+
+    def wrong():
+        raise support.OptionError("z", "ab")
+
+    tries = {"format": lambda: Format.of("xml"), "limit": lambda: Query("t").limit(-1), "name": lambda: qualified("a b"), "option": wrong, "unit": lambda: datagen.create_df(spark, {"a": "int8"}, 0)}
+    rows = [("type", str(support.type_error(2, str, "x"))), ("shown", repr(store))]
+    for what, action in tries.items():
+        try:
+            action()
+        except (ValueError, support.LibraryError) as failure:
+            rows.append((what, str(failure)))
+    return spark.createDataFrame(rows, "what string, said string")
+
+
+@_query("SELECT l_suppkey, sum(l_quantity) AS row_count, CASE WHEN max(l_tax) > 0 THEN sum(l_quantity) / max(l_tax) END AS rate FROM lineitem GROUP BY 1")
+def worker_rates(spark, sf_dir):
+    """Rows a second of the slowest worker; none where no time was measured."""
+    rows = _table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_tax").alias("seconds"), F.col("l_quantity").alias("row_count"))
+    made = metrics.merged(rows, ["l_suppkey"], ["seconds"], ["row_count"])
+    return made.select("l_suppkey", "row_count", metrics.rate(F.col("row_count"), F.col("seconds")).alias("rate"))
+
+
 # metrics and schemas
 
 
