@@ -69,6 +69,15 @@ def _names(session: SparkSession) -> list[str]:
     return [t.name for t in session.catalog.listTables() if t.isTemporary]
 
 
+def _relations(java, text: str) -> list[str]:
+    """Names of one part that the parsed statement reads, subqueries included; some may be its own common table expressions'."""
+    try:
+        plan = java.sessionState().sqlParser().parsePlan(text)
+    except Exception:  # running the statement says what is wrong with it
+        return []
+    return re.findall(r"'UnresolvedRelation \[([^\],]+)\]", plan.toString())
+
+
 def _seconds(text: str) -> float:
     """The total of a timing metric as Spark writes it, such as ``12 ms`` or, below a line of headings, ``1.2 s (...)``."""
     found = re.search(r"([\d.,]+)\s*(ms|s|m|min|h)\b", text.splitlines()[-1]) if text else None
@@ -254,9 +263,9 @@ class DataStore:
         return self._local_sql(from_tsql(query.raw_sql), query.args)
 
     def _local_sql(self, text: str, args: dict | None) -> DataFrame:
-        """A statement over the folder's tables. They are made known, one by one as the statement asks for them, to a copy of the
-        session, so that no view of the user's is replaced and no table is looked at that isn't named; the user's own views, and
-        tables of the catalog, are there where the folder has none of that name."""
+        """A statement over the folder's tables. Those that it names are made known to a copy of the session, so that no view of the
+        user's is replaced and no table is looked at that isn't named; the user's own views, and tables of the catalog, are there
+        where the folder has none of that name."""
         java = self.spark._jsparkSession.cloneSession()
         own = SparkSession(self.spark.sparkContext, java)
         known: set[str] = set()
@@ -268,9 +277,9 @@ class DataStore:
                 known.add(name)
             return bool(path)
 
-        for table in _names(own):
+        for table in {*_names(own), *_relations(java, text)}:
             register(table)
-        while True:
+        while True:  # for names that the plan's text doesn't show plainly
             try:
                 frame = own.sql(text, args=args or None)
                 break
