@@ -11,9 +11,10 @@ There are two templates of each text, and its folded words as they are. In the f
 their case; in the second, capitalised words are names as well, but for stop words that begin a sentence. The third kind has no slots: its windows, of
 which no share of literals is asked, find copies word for word, also of items that are all numbers and measures.
 
-Plan: one Arrow pass makes windows, keeping those whose hash occurs in the benchmark where the benchmark's hashes are
-few enough to broadcast (PREFILTER_HASHES, checked); the rest of the windows never leaves the worker. Above that size
-all windows go into the join. The join, the consistency check and the count of matched windows are built-in operators.
+Plan: one Arrow pass makes windows, keeping those whose hash falls on a bit that a window of the benchmark has set; the
+others never leave the worker. The map of bits is broadcast: 16 bits a hash, and FILTER_BITS as its logarithm at most,
+64 MB, however large the benchmark; a fuller map lets more windows through, which the join then drops, so results are the
+same. The join, the consistency check and the count of matched windows are built-in operators.
 
 A document leaks an item if at least half of the item's windows, or MANY of them, are matched consistently; MANY
 neighbouring windows are thirteen template words in a row. An item shorter than WINDOW is one window of its whole length.
@@ -36,6 +37,8 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,7 +48,7 @@ from brindle.llm import bytewords as bw
 from brindle.plans.scratch import hand_on, materialize, scope
 
 WINDOW, MIN_WORDS, LITERALS, SHARE, MANY = 8, 5, 0.5, 0.5, 6
-PREFILTER_HASHES = 4_000_000
+FILTER_BITS = 29
 NUMBERS = "zero two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNITS = (
     "km kilometer kilometers kilometre kilometres m meter meters metre metres cm mm mile miles yard yards foot feet ft inch inches kg g mg gram grams kilogram kilograms "
@@ -74,6 +77,31 @@ def _in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == x
 
 
+def _bit(x: np.ndarray, size: int) -> np.ndarray:
+    return (x >> np.uint64(64 - (size * 8).bit_length() + 1)).astype(np.int64)
+
+
+def _marked(x: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Whether the bits of hashes are set in a map of a power of two bits."""
+    at = _bit(x, len(marks))
+    return (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _marks(hashes: DataFrame, most_bits: int) -> np.ndarray:
+    """The map of bits of all hashes, made by one task that reads them as they come."""
+    bits = max(3, min(most_bits, (16 * hashes.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(1 << (bits - 3), np.uint8)
+        for batch in batches:
+            at = _bit(batch.column(0).to_numpy().view(np.uint64), len(marks))
+            np.bitwise_or.at(marks, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([marks.tobytes()], pa.binary())], ["marks"])
+
+    row = hashes.coalesce(1).mapInArrow(run, "marks binary").first()
+    return np.frombuffer(row["marks"], np.uint8) if row else np.zeros(1 << (bits - 3), np.uint8)
+
+
 _sets: list[np.ndarray] = []
 
 
@@ -131,7 +159,7 @@ def windows(texts: pa.Array, size: int, whole: bool, known: np.ndarray | None, s
     """Per template and size: (kind, size, hash, row, position, slot types, values) of the windows.
 
     whole: a text shorter than ``size`` is one window of all its words; else windows of each of ``sizes`` are made too.
-    known: sorted hashes that a window must have to be listed.
+    known: a map of bits, by its hash, that a window must have to be listed.
     """
     for kind, h, slot, value, ptr in templates(texts):
         n = np.diff(ptr)
@@ -151,7 +179,7 @@ def windows(texts: pa.Array, size: int, whole: bool, known: np.ndarray | None, s
                 ok &= n[row[:room]] == s
             at = np.flatnonzero(ok)
             if known is not None:
-                at = at[_in(total[at], known)]
+                at = at[_marked(total[at], known)]
             yield kind, s, total[at], row[at], at - ptr[row[at]], at, slot, value
         for s in range(1, MIN_WORDS) if kind == EXACT else ():  # texts of few words, as a whole
             at = ptr[:-1][n == s]
@@ -159,7 +187,7 @@ def windows(texts: pa.Array, size: int, whole: bool, known: np.ndarray | None, s
             for k in range(s):
                 total = total * np.uint64(0x100000001B3) + h[at + k]
             total = bw.mix(total)
-            kept = np.flatnonzero(_in(total, known)) if known is not None else np.arange(len(at))
+            kept = np.flatnonzero(_marked(total, known)) if known is not None else np.arange(len(at))
             yield ALONE, s, total[kept], row[at[kept]], np.zeros(len(kept), np.int64), at[kept], slot, value
 
 
@@ -228,12 +256,10 @@ def _consistent(windows: Column) -> Column:
     return F.transform(kept, lambda w: w["item_pos"])
 
 
-def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, prefilter: int) -> DataFrame:
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, filter_bits: int) -> DataFrame:
     spark = docs.sparkSession
     items, sizes = _item_windows(benchmark, item_col, item_text_col), _short_sizes(benchmark, item_text_col)
-    hashes = items.select("hash").distinct()
-    few = hashes.limit(prefilter + 1).count() <= prefilter
-    known = spark.sparkContext.broadcast(np.sort(hashes.toArrow().column(0).to_numpy().view(np.uint64)) if few else None)
+    known = spark.sparkContext.broadcast(_marks(items.select("hash"), filter_bits))
     made = F.arrow_udf(lambda texts: _lists(texts, WINDOW, False, known.value, sizes), WINDOW_TYPE).asNondeterministic()
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _key(docs, id_col, text_col).alias("key"), made(F.col(text_col).cast("string")).alias("w"))
     # a generator instead of a filter keeps the optimizer from running the function twice
@@ -247,16 +273,16 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     return found.groupBy("doc_id", "key", "item_id").agg(F.max("matched").cast("bigint").alias("matched_windows"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, prefilter: int = PREFILTER_HASHES) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, filter_bits: int = FILTER_BITS) -> DataFrame:
     """``(doc_id, item_id, matched_windows)``: which documents hold which items."""
-    found = _leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, prefilter)
+    found = _leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, filter_bits)
     return found.groupBy("doc_id", "item_id").agg(F.max("matched_windows").alias("matched_windows"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, prefilter: int = PREFILTER_HASHES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, filter_bits: int = FILTER_BITS) -> DataFrame:
     """The documents that leak no item; columns unchanged."""
     with scope(docs.sparkSession) as made:
-        gone = materialize(_leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, prefilter).select("key").distinct(), "gone")
+        gone = materialize(_leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, filter_bits).select("key").distinct(), "gone")
         hand_on(made, 1)
     rows = docs.select(_key(docs, id_col, text_col).alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     return rows.join(gone, "key", "left_anti").select("row.*")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -26,7 +27,7 @@ def test_equals_brute_force_on_the_tables(spark):
         wanted |= {(d, i) for i, item in held if f" {item} " in text}
     found = {(r.doc_id, r.item_id) for r in D.leaks(docs, items).collect()}
     assert found == wanted and len(found) > 20
-    assert {(r.doc_id, r.item_id) for r in D.leaks(docs, items, prefilter=0).collect()} == wanted
+    assert {(r.doc_id, r.item_id) for r in D.leaks(docs, items, filter_bits=3).collect()} == wanted
     clean = {r.doc_id for r in D.decontaminate(docs, items).collect()}
     assert clean == {r.doc_id for r in docs.collect()} - {d for d, _ in wanted}
 
@@ -130,7 +131,7 @@ def test_frames_of_placeholders_match_nothing(spark):
 def test_items_of_slots_match_word_for_word(spark, item):
     other = "".join(str(9 - int(c)) if c.isdigit() else c for c in item).replace("Anna", "Emil")
     assert _found(spark, [f"some text before. {item} and after it", item.lower(), other, item.split()[0]], [item]) == {(0, 0), (1, 0)}
-    assert _found(spark, [item], [item], prefilter=0) == {(0, 0)}
+    assert _found(spark, [item], [item], filter_bits=3) == {(0, 0)}
 
 
 def test_one_changed_value_hides_no_leak(spark):
@@ -154,13 +155,23 @@ def test_short_items_and_defined_results(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int, key string")
     found = {(r.doc_id, r.item_id) for r in D.leaks(docs, items).collect()}
     assert found == {(1, 1), (1, 5), (1, 6), (None, 6), (4, 6), (5, 2)}
-    assert found == {(r.doc_id, r.item_id) for r in D.leaks(docs, items, prefilter=0).collect()}
+    assert found == {(r.doc_id, r.item_id) for r in D.leaks(docs, items, filter_bits=3).collect()}
     kept = D.decontaminate(docs, items)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 3, 6, 7]
     assert D.leaks(docs.limit(0), items).count() == 0 and D.leaks(docs, items.limit(0)).count() == 0
     assert D.decontaminate(docs, items.limit(0)).count() == len(rows)
 
 
+def test_marks_hold_every_hash(spark):
+    random_state = np.random.default_rng(3)
+    hashes, others = (random_state.integers(0, 1 << 64, 5000, dtype=np.uint64) for _ in range(2))
+    frame = spark.createDataFrame([(int(x),) for x in hashes.view(np.int64)], "hash long").repartition(3)
+    marks = D._marks(frame, 29)
+    assert len(marks) * 8 == 1 << 17 and D._marked(hashes, marks).all() and D._marked(others, marks).mean() < 0.06
+    assert len(D._marks(frame, 5)) == 4 and D._marked(others, D._marks(frame, 5)).all()
+    assert not D._marked(others, D._marks(frame.limit(0), 29)).any()
+
+
 def test_unrelated_texts_stay(spark, prose):
     random.seed(8)
     items = [prose(random.randint(12, 60)) for _ in range(30)]
