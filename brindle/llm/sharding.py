@@ -14,7 +14,7 @@ Defined results
   null text                  0 bytes; the row has a shard like any other
   null doc_id                hashed by the text instead, so that such rows spread like others; null texts among them like an empty string
   repeated doc_ids           always share a shard
-  a shard that can't split   one hash with more than the limit: it stays whole, at depth MAX_BITS
+  a shard that can't split   one hash with more than the limit: it stays one shard, at depth MAX_BITS, which several tasks write
   no document                no row, an empty directory
   extra or clashing columns  not read by ``assign``
 """
@@ -23,11 +23,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.plans.scratch import materialize, scope, tasks_for
+from brindle.plans.scratch import TASK_BYTES, materialize, scope
 
 SHARD_BYTES, STEP, MAX_BITS = 64 << 20, 10, 60
 DIRECTORY_TYPE = "prefix bigint, depth int, bytes bigint, rows bigint, open boolean"
@@ -42,6 +42,11 @@ def _prefix(bits: Column, depth: int) -> Column:
     return F.shiftright(bits, MAX_BITS - depth)
 
 
+def _start(prefix: str, depth: str) -> Column:
+    """The least hash that a prefix holds."""
+    return F.call_function("shiftleft", F.col(prefix), F.lit(MAX_BITS) - F.col(depth))
+
+
 def _settle(depth: int, limit: int):
     """Leaves of one bucket's subtree of STEP levels from the sums at its end."""
 
@@ -90,30 +95,35 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, *columns: Column) -> Dat
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, limit: int = SHARD_BYTES) -> DataFrame:
     """``(doc_id, n_bytes, shard, depth)`` of every row; ``shard`` is the bucket's prefix as an integer of ``depth`` bits."""
     sizes = materialize(_sized(docs, id_col, text_col, F.col(id_col).alias("doc_id")), "sizes")
-    return placed(sizes, directory(sizes, limit)).select("doc_id", F.col("bytes").alias("n_bytes"), "shard", "depth")
+    return placed(sizes, directory(sizes, limit).select("prefix", "depth")).select("doc_id", F.col("bytes").alias("n_bytes"), "shard", "depth")
 
 
 def placed(rows: DataFrame, shards: DataFrame) -> DataFrame:
-    """Rows with ``bits`` and the ``shard`` and ``depth`` that hold them: an equi-join for each depth there is."""
-    shards = materialize(shards.select("prefix", "depth"), "shards")
+    """Rows with ``bits`` and the ``shard`` and ``depth`` that hold them, and more columns of ``shards``: an equi-join for each depth there is."""
+    shards = materialize(shards.select(F.col("prefix").alias("shard"), *(c for c in shards.columns if c != "prefix")), "shards")
     out = rows
     depths = sorted(r[0] for r in shards.select("depth").distinct().collect())
     for d in depths:
-        own = shards.where(F.col("depth") == d).select(F.col("prefix").alias(f"__prefix{d}"))
+        own = shards.where(F.col("depth") == d).select(F.col("shard").alias(f"__prefix{d}"), F.struct(*shards.columns).alias(f"__in{d}"))
         out = out.join(own, _prefix(F.col("bits"), d) == F.col(f"__prefix{d}"), "left")
-    which = F.coalesce(*(F.when(F.col(f"__prefix{d}").isNotNull(), F.struct(F.col(f"__prefix{d}").alias("shard"), F.lit(d).alias("depth"))) for d in depths)) if depths else F.lit(None).cast("struct<shard: bigint, depth: int>")
-    return out.select(*rows.columns, which.alias("__in")).select(*rows.columns, "__in.shard", "__in.depth")
+    which = F.coalesce(*(F.col(f"__in{d}") for d in depths)) if depths else F.lit(None).cast(shards.schema.simpleString())
+    return out.select(*rows.columns, which.alias("__in")).select(*rows.columns, *(F.col(f"__in.{c}") for c in shards.columns))
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, limit: int = SHARD_BYTES) -> None:
-    """Write the documents, one folder ``__shard=depth-shard`` a shard, each written by one task; columns unchanged but for the folder's key."""
+    """Write the documents, one folder ``__shard=depth-shard`` a shard, each that fits the limit by one task; columns unchanged but for the folder's key."""
     with scope(docs.sparkSession):
         sizes = materialize(_sized(docs, id_col, text_col), "sizes")
         shards = materialize(directory(sizes, limit), "directory")
-        tasks = tasks_for(docs.sparkSession, shards.agg(F.sum("bytes")).first()[0] or 0)
+        # neighbouring shards share a task up to TASK_BYTES: a shard is a number of bytes, so even at 100 TB one task can number them
+        before = F.sum("bytes").over(Window.orderBy(_start("prefix", "depth"))) - F.col("bytes")
+        width = F.ceil(F.col("bytes") / max(limit, TASK_BYTES)).cast("int")
+        shards = materialize(shards.select("prefix", "depth", F.floor(before / TASK_BYTES).cast("int").alias("task"), F.greatest(width, F.lit(1)).alias("width")), "tasks")
         row = _sized(docs, id_col, text_col, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
-        out = placed(row, shards).withColumn("__shard", F.concat_ws("-", "depth", "shard")).repartition(tasks, "__shard")
-        out.select("__row.*", "__shard").write.partitionBy("__shard").option("compression", "zstd").parquet(path)
+        out = placed(row, shards).withColumn("__shard", F.concat_ws("-", "depth", "shard"))
+        tasks = shards.agg(F.max(F.col("task") + F.col("width"))).first()[0]
+        own = F.col("task") + F.pmod(F.xxhash64("bytes", F.col(f"__row.`{text_col}`").cast("string")), F.col("width")).cast("int")
+        out.repartitionById(tasks or 1, own).select("__row.*", "__shard").write.partitionBy("__shard").option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, columns: T.StructType) -> DataFrame:

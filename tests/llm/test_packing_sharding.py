@@ -139,6 +139,16 @@ def test_rows_without_an_id_spread(spark):
     assert len(found) == 402 and max(size.values()) <= 300 and len(size) > 10
 
 
+def test_a_shard_that_cannot_split_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "TASK_BYTES", 1000)
+    docs = spark.createDataFrame([(7, f"copy {i} " * 9) for i in range(300)] + [(i, "other " * 9) for i in range(100)], "doc_id long, text string")
+    S.write_shards(docs, str(tmp_path / "s"), limit=2000)
+    back = S.read_shards(spark, str(tmp_path / "s"), docs.schema)
+    assert back.select("doc_id", "text").exceptAll(docs).count() == 0 and back.count() == 400
+    files = {r.depth: r.n for r in back.withColumn("f", F.input_file_name()).groupBy("depth", "shard").agg(F.count_distinct("f").alias("n")).groupBy("depth").agg(F.max("n").alias("n")).collect()}
+    assert files.pop(S.MAX_BITS) > 5 and set(files.values()) == {1}
+
+
 def test_queries_split_the_tables(spark):
     from brindle.llm import queries as Q
 
