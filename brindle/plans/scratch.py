@@ -21,8 +21,8 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: What one task should take of a table whose tasks are numbered by its bytes.
-TASK_BYTES = 64 << 20
+#: What one task should take, at most and at least, of a table whose tasks are numbered by its bytes.
+TASK_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
 _open = threading.local()
 _swept: set[str] = set()
 
@@ -122,8 +122,9 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
 
 
 def tasks_for(spark: SparkSession, n_bytes: int, each: int = TASK_BYTES) -> int:
-    """How many tasks a shuffle of so many bytes should have: as the session says, or more where those would grow too large."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each))
+    """How many tasks a shuffle of so many bytes should have: as the session says, fewer where they would have next to nothing to do, more where they would grow too large."""
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(usual, -(-n_bytes // LEAST_BYTES)), -(-n_bytes // each))
 
 
 def remove(spark: SparkSession, path: str) -> None:

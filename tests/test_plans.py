@@ -60,7 +60,7 @@ def test_a_cluster_must_name_its_folder(spark, monkeypatch):
 
 def test_buckets_follow_bytes(spark):
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert scratch.tasks_for(spark, 0) == least and scratch.tasks_for(spark, 10**9, 10**6) == 1000
+    assert scratch.tasks_for(spark, 0) == 1 and scratch.tasks_for(spark, 10**8) == least and scratch.tasks_for(spark, 10**9, 10**6) == 1000
     rows = spark.range(100).select(F.col("id").alias("k"), F.lit("x").alias("t"))
     table = scratch.materialize_by(rows, "t", "k", spark.range(0, 50, 5).withColumnRenamed("id", "k"), least * 3 * scratch.TASK_BYTES)
     assert table.count() == 10 and "Exchange" not in table.groupBy("k").count()._jdf.queryExecution().executedPlan().toString().replace("AQE", "")
