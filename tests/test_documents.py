@@ -26,6 +26,58 @@ def test_yaml_by_the_core_schema(text, value):
     assert D.decode(text.encode(), "yaml") == value
 
 
+def test_small_documents_cost_little(monkeypatch):
+    """Plain block style takes no parser of all of YAML, other documents no constructor of PyYAML's for each of their nodes."""
+    block = "# made\nk: &n 7\nmore:\n  - *n\n  - deep: yes\n    x: 'a: b'  # c\nlast:\n- []\n-\n"
+    flow = "{k: &n 7, more: [*n, {deep: yes, x: 'a: b'}], last: [[], null]}"
+    value = {"k": 7, "more": [7, {"deep": "yes", "x": "a: b"}], "last": [[], None]}
+    calls = []
+    usual = yaml.constructor.BaseConstructor.construct_object
+    monkeypatch.setattr(yaml.constructor.BaseConstructor, "construct_object", lambda *a, **k: calls.append(a) or usual(*a, **k))
+    assert D.decode(flow.encode(), "yaml") == value and not calls
+    monkeypatch.setattr(yaml, "load_all", lambda *_: pytest.fail("PyYAML was called"))
+    assert D.decode(block.encode(), "yaml") == value
+
+
+class Usual(D._yaml_loader()):
+    construct_document = yaml.SafeLoader.construct_document
+
+
+def by_pyyaml(text):
+    """By PyYAML's own walk over the nodes."""
+    try:
+        found = list(yaml.load_all(text, Usual))
+    except (yaml.YAMLError, RecursionError, ValueError):
+        return "broken"
+    return repr(None if not found else found[0] if len(found) == 1 else found)
+
+
+def by_decode(text):
+    try:
+        return repr(D.decode(text.encode(), "yaml"))
+    except D.DocumentError:
+        return "broken"
+
+
+EDGES = ["a: b\n  c", "a: b\n  - c", "- a\n  - b", "- a\nb: 1", "a:\n- 1\nb: 2", "a: 1\n- 2", "a:\n  - 1\n- 2", "- x: b\n  - c", "- x:\n  - c\n  y: 2", "- x:\n y: 2", "-\n- a", "-\n  - a", "a:\n    b: 1\n  c: 2", "a: &n 1\nb: &n 2", "a: *n", "a: &n\nb: *n", "a: &n [*n]", "a: &n {b: *n}", "a: 1\na:\n  b: 2", "1: a\n0x1: b\ntrue: c\n~: d", "a: ~\nb: null\nc:", "k : v", "a: b: c", "a: b#c", "a: b #c", "a: 'it''s'", 'a: "x\\n"', 'a: "b', "a: ' s '", "  a: 1", "---\na: 1", "a: 1\n...\n", "- - a", "- -5", "a:\t1", "a: 1\r\nb: 2", "x" * 1100 + ": 1", "a: " + "x" * 5000, "a: " + "1" * 5000, "é: é", "<<: {a: 1}\nb: 2", "? a\n: b", "- !!int '5'\n- !!str 5\n- !x y\n- !!set {a}", "\n".join(" " * k + "a:" for k in range(60)), "", "#", "a"]
+
+
+@pytest.mark.parametrize("text", EDGES)
+def test_yaml_is_pyyamls_at_the_edges(text):
+    assert by_decode(text) == by_pyyaml(text)
+
+
+def test_yaml_is_pyyamls_in_any_lines():
+    random.seed(7)
+    parts = ["a: 1", "b:", "c: x y", "- 1", "-", "- a: 2", "- b:", "-   c: &n 3", "*n", "d: *n", "- *n", "# c", "", "e: 'q: r'", "- []", "f: {a: *n}", "- &n z", "1: .5", "<<: {g: 1}"]
+    read = 0
+    for _ in range(3000):
+        text = "\n".join(" " * random.choice([0, 0, 2, 2, 4, 1]) + random.choice(parts) for _ in range(random.randint(1, 5)))
+        assert by_decode(text) == by_pyyaml(text), text
+        read += D._block(text) is not None
+    assert read > 100
+
+
 def test_json_is_strict():
     for text in ('{"a": [1, 2.5, "x", null, true]}', "18446744073709551615", '"\\u00e9"', "[]"):
         assert D.decode(text.encode(), "json") == json.loads(text)
